@@ -1,0 +1,19 @@
+"""Broadcast only what is known to be small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Hint a broadcast for a table of at most ``max_rows`` rows.
+
+    The check reads at most ``max_rows + 1`` rows. Larger tables are returned without
+    a hint, and Spark (with AQE) picks a shuffled join for them.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df

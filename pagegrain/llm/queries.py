@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pagegrain.llm.dac import op10
+from pagegrain.llm.langid import op4
 from pagegrain.llm.packing import op7
+from pagegrain.llm.quality import op5
+from pagegrain.llm.rules import op1
+from pagegrain.llm.secrets import op8
 
 
 def queries() -> dict:
-    return {"op7_best_fit_packing": op7, "op10_token_codes": op10}
+    return {
+        "op1_quality_rules": op1,
+        "op4_language_id": op4,
+        "op5_quality_classifier": op5,
+        "op7_best_fit_packing": op7,
+        "op8_secret_scans": op8,
+        "op10_token_codes": op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

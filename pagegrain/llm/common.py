@@ -96,6 +96,16 @@ class Words(NamedTuple):
     first: np.ndarray
 
 
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
+PLAIN[0x41:0x5B] += 32
+
+
+def plainly(t: Texts) -> Texts:
+    """ASCII letters in lower case and ASCII punctuation as white space, byte for byte."""
+    return t._replace(data=PLAIN[t.data])
+
+
 def spans(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte ranges of the words and the first word of each row."""
     solid = np.ones(len(t.data) + 2, bool)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pagegrain.llm.dac import op10
+from pagegrain.llm.decontam import op3
 from pagegrain.llm.langid import op4
+from pagegrain.llm.near import op9
 from pagegrain.llm.packing import op7
 from pagegrain.llm.quality import op5
 from pagegrain.llm.rules import op1
@@ -13,10 +15,12 @@ from pagegrain.llm.secrets import op8
 def queries() -> dict:
     return {
         "op1_quality_rules": op1,
+        "op3_benchmark_decontamination": op3,
         "op4_language_id": op4,
         "op5_quality_classifier": op5,
         "op7_best_fit_packing": op7,
         "op8_secret_scans": op8,
+        "op9_minhash_near_dedup": op9,
         "op10_token_codes": op10,
     }
 

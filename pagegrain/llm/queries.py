@@ -8,6 +8,7 @@ from pagegrain.llm.langid import op4
 from pagegrain.llm.near import op9
 from pagegrain.llm.packing import op7
 from pagegrain.llm.quality import op5
+from pagegrain.llm.repeats import op6
 from pagegrain.llm.rules import op1
 from pagegrain.llm.secrets import op8
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_benchmark_decontamination": op3,
         "op4_language_id": op4,
         "op5_quality_classifier": op5,
+        "op6_substring_dedup": op6,
         "op7_best_fit_packing": op7,
         "op8_secret_scans": op8,
         "op9_minhash_near_dedup": op9,

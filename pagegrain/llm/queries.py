@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagegrain.llm.dac import op10
 from pagegrain.llm.decontam import op3
 from pagegrain.llm.langid import op4
+from pagegrain.llm.mixlm import op2
 from pagegrain.llm.near import op9
 from pagegrain.llm.packing import op7
 from pagegrain.llm.quality import op5
@@ -16,6 +17,7 @@ from pagegrain.llm.secrets import op8
 def queries() -> dict:
     return {
         "op1_quality_rules": op1,
+        "op2_lm_scoring": op2,
         "op3_benchmark_decontamination": op3,
         "op4_language_id": op4,
         "op5_quality_classifier": op5,

@@ -139,30 +139,34 @@ def _index(items: tuple) -> Index:
     return Index(list(items))
 
 
+def _blocks(docs: DataFrame, items: DataFrame, block: int):
+    """The items in blocks of about ``block``, each sent to the tasks: its size does not
+    follow the benchmark. Items without a text are left out."""
+    items = items.where("text is not null").select("item_id", "text")
+    n = max(1, -(-items.count() // block))
+    for k in range(n):
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+        yield docs.sparkSession.sparkContext.broadcast(tuple(sorted((tuple(r) for r in some), key=str)))
+
+
 def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, edits, from_word, to_word: each item found in each row of ``docs``.
 
     ``docs`` has doc_id and text, ``items`` item_id and text. Rows and items without a word
-    have no finds; repeated rows are each searched. The items go in blocks of about
-    ``block``, and each block's index is sent to the tasks, so its size does not follow the
-    benchmark; each block reads the documents once.
+    have no finds; repeated rows are each searched. Each block of items reads the
+    documents once.
     """
-    items = items.where("text is not null").select("item_id", "text")
-    n = items.count()
-    blocks = max(1, -(-n // block))
-    kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": items.schema["item_id"].dataType.simpleString()}
-    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, edits int, from_word long, to_word long"
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
+    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, from_word long, to_word long"
     out = None
-    for k in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about ``block`` items
-        sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted((tuple(r) for r in some), key=str)))
+    for sent in _blocks(docs, items, block):
 
         def run(batches, sent=sent):
             index = _index(sent.value)
             for batch in batches:
                 for t in texts(batch.column(1)):
                     w = words(plainly(t))
-                    found = index.leaks(w.hash, w.first) if index.tables else []
+                    found = index.leaks(w.hash, w.first)
                     if found:
                         row, item, d, a, b = zip(*found)
                         ids = batch.column(0).slice(t.first, t.rows).take(pa.array(row))
@@ -174,6 +178,24 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     return out
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` (with a text; other columns stay) in which no item is found."""
+    k = docs.columns.index("text")
+    for sent in _blocks(docs, items, block):
+
+        def run(batches, sent=sent):
+            index = _index(sent.value)
+            for batch in batches:
+                bad: set[int] = set()
+                for t in texts(batch.column(k)):
+                    w = words(plainly(t))
+                    bad.update(t.first + f[0] for f in index.leaks(w.hash, w.first))
+                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return leaks(load(spark.read.parquet(f"{sf_dir}/documents.parquet")), items)

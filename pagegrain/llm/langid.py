@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pagegrain.llm.common import held_out, load
+from pagegrain.llm.common import held_out
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -181,9 +181,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(langs, idf, w, temperature(logits, np.array([y for *_, y in last], int)))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to rows with a ``text``; other columns stay."""
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+def identify(docs: DataFrame, model: Model, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add the language and its probability to rows with a ``text``; other columns stay."""
+    schema = StructType([*docs.schema.fields, StructField(out[0], StringType()), StructField(out[1], DoubleType())])
     k = docs.columns.index("text")
 
     def run(batches):
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             got = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *got], names)
 
-    names = [*docs.columns, "lang_pred", "score"]
+    names = [*docs.columns, *out]
     return docs.mapInArrow(run, schema)
 
 

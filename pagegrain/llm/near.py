@@ -18,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import Texts, load, mix, texts, windows, words
@@ -234,5 +235,17 @@ def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataF
     return named.select("doc_id", F.coalesce("root", "node", "doc_id").alias("class_id"), F.coalesce("n_same", F.lit(1)).alias("n_same"))
 
 
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` (with doc_id and text; other columns stay) with one row of each class.
+
+    The document with the least id stays, of several rows of one id the one with the
+    least text. Rows without an id all stay.
+    """
+    keep = classes(load(docs), least).where("class_id = doc_id").select("doc_id").distinct()
+    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(docs.columns).union(docs.where("doc_id is null"))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return classes(load(spark.read.parquet(f"{sf_dir}/documents.parquet")))

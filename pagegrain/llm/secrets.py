@@ -62,7 +62,7 @@ def _role(rank: Column, value: int) -> Column:
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """``base`` and ``weak`` spans of rows with doc_id and text, and a key for rows with weak ones.
+    """``base`` and ``weak`` spans of rows with doc_id and text, and a key for each text with weak ones.
 
     A weak span that overlaps a base span is the same find and left out; so is a weak
     secret inside an endpoint or identifier.
@@ -75,7 +75,8 @@ def parts(docs: DataFrame) -> DataFrame:
     weak = F.concat(named, F.filter("s4", lambda s: ~over(s, named)))
     d = d.withColumn("weak", F.filter(weak, lambda s: ~over(s, F.col("base"))))
     key = F.md5(F.concat_ws("\x01", F.coalesce(F.col("doc_id").cast("string"), F.lit("\x02")), "text").cast("binary"))
-    return d.withColumn("key", F.when(F.size("weak") > 0, key))
+    # rows without a weak span need no partner; keys of their own keep them apart in the join
+    return d.withColumn("key", F.when(F.size("weak") > 0, key).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -84,7 +85,7 @@ def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     Equal rows share a key and are linked once. A bucket holds at most ``scope`` characters
     of one document, which bounds the pairs.
     """
-    rows = found.where("key is not null").dropDuplicates(["key"]).select("key", F.explode(F.concat("base", "weak")).alias("s"))
+    rows = found.where(F.size("weak") > 0).select("key", F.explode(F.concat("base", "weak")).alias("s")).distinct()
     rows = rows.select("key", "s.*", _role(F.col("s.rank"), 3).alias("role"), _role(F.col("s.rank"), 4).alias("weak"))
     first, last = F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)
     # a candidate asks the buckets around both its ends; a part answers in those of its ends

@@ -1,0 +1,10 @@
+"""Operators of the reference, by subject. Importing a module registers its operators."""
+
+from importlib import import_module
+
+MODULES = ("policy", "blocks", "calls", "judges")
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"pagegrain.operators.{name}")

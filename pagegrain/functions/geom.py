@@ -1,7 +1,7 @@
 """Box arithmetic as column expressions.
 
-A box is four integer columns ``x0, y0, x1, y1``; ``Box("a")`` addresses them under
-an alias (``a.x0``), ``Box("", "x0")`` style prefixes are covered by ``box(prefix)``.
+A box is four integer columns ``x0, y0, x1, y1``; ``box("a.")`` addresses them under an
+alias, ``box("t_")`` with a prefix.
 """
 
 from __future__ import annotations

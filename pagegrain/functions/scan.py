@@ -24,6 +24,13 @@ def _add(how: str, a: Column, b: Column) -> Column:
     return (F.greatest if how == "max" else F.least)(a, b)
 
 
+def _with_carry(local: DataFrame, carry: DataFrame, part: list[str]) -> DataFrame:
+    """Join on the parts of a key; null is a part like any other."""
+    carry = carry.select(*(F.col(c).alias(f"_of_{i}") for i, c in enumerate(part)), *(c for c in carry.columns if c not in part))
+    same = [local[c].eqNullSafe(carry[f"_of_{i}"]) for i, c in enumerate(part)]
+    return local.join(carry, same, "inner").drop(*(f"_of_{i}" for i in range(len(part))))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,7 +54,7 @@ def running(
     carry_w = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(*part, _AGG[how]("_total").over(carry_w).alias("_carry"))
     return (
-        local.join(carry, part)
+        _with_carry(local, carry, part)
         .withColumn(out, _add(how, F.col("_local"), F.col("_carry")))
         .drop("_bucket", "_value", "_local", "_carry")
     )
@@ -71,8 +78,8 @@ def rank_in(
     carry = totals.select(
         *part, F.coalesce(F.sum("_total").over(carry_w), F.lit(0)).alias("_carry")
     )
-    rank = (F.col("_local") + F.col("_carry") + F.lit(start - 1)).cast("int")
-    return local.join(carry, part).withColumn(out, rank).drop("_bucket", "_local", "_carry")
+    rank = (F.col("_local") + F.col("_carry") + F.lit(start - 1)).cast("bigint")
+    return _with_carry(local, carry, part).withColumn(out, rank).drop("_bucket", "_local", "_carry")
 
 
 def neighbours(
@@ -102,7 +109,7 @@ def neighbours(
         F.lag("_last").over(carry_w).alias("_before"),
         F.lead("_first").over(carry_w).alias("_after"),
     )
-    res = local.join(ends, part)
+    res = _with_carry(local, ends, part)
     for f in fields:
         if before is not None:
             res = res.withColumn(before + f, F.coalesce(F.col("_lag"), F.col("_before"))[f])
@@ -119,7 +126,7 @@ def islands(
     bucket_width: int,
     out: str,
 ) -> DataFrame:
-    """Connected groups of intervals ``[start, end)`` per key, named by their start.
+    """Connected groups of intervals per key, named by their start; touching ones connect.
 
     Intervals of different islands share no point, so any algorithm that only lets
     overlapping items interact gives the same answer run island by island.
@@ -127,6 +134,7 @@ def islands(
     df = df.withColumn("_s", start).withColumn("_e", end)
     bucket = F.floor(F.col("_s") / bucket_width)
     df = running(df, keys, ["_s", "_e"], bucket, F.col("_e"), "_reach", "max", inclusive=False)
+    # an interval that begins where an island opens belongs to it, whichever of equal ones comes first
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s"))
     df = running(df, keys, ["_s", "_e"], bucket, opens, out, "max")
     return df.drop("_s", "_e", "_reach")

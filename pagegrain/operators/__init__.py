@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("policy", "blocks", "calls", "judges")
+MODULES = ("policy", "blocks", "calls", "judges", "splits", "match")
 
 
 def load_all() -> None:

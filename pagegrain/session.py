@@ -1,5 +1,4 @@
-"""Session helper. On a cluster the deployment's own settings win; these are the
-settings the operators were tuned with."""
+"""Session helper: defaults are set only where the deployment left a setting open."""
 
 from __future__ import annotations
 
@@ -11,7 +10,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -19,6 +17,11 @@ def build_session(master: str | None = None, app: str = "pagegrain", **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, value in DEFAULTS.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark

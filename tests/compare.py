@@ -42,5 +42,5 @@ def difference(df, con, sql: str) -> str | None:
         return f"columns {sorted(df.columns)} and {sorted(names)}"
     if got == want:
         return None
-    left, right = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+    left, right = sorted(set(got) - set(want))[:3], sorted(set(want) - set(got))[:3]
     return f"{len(got)} and {len(want)} rows; {left} and {right}"

@@ -126,7 +126,8 @@ def signed(docs: DataFrame, weight: str = "set") -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
-    """``node`` and ``root`` (its component's least node) for the ends of edges (a, b), a <> b.
+    """``node`` and ``root`` (its component's least node) for the ends of edges (a, b), a <> b;
+    roots themselves are not listed.
 
     Alternating large-star and small-star steps, each written to the shared folder; no
     neighbourhood is ever collected.

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("policy", "blocks", "calls", "judges", "splits", "match")
+MODULES = ("policy", "blocks", "calls", "judges", "splits", "match", "translate", "shapes")
 
 
 def load_all() -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import load
-from pagegrain.llm.tokens import crc32_of, encoder, vocabulary
+from pagegrain.llm.tokens import crc32_of, encoder, slices, vocabulary
 from pagegrain.sources.scratch import materialize, new_path
 
 MAGIC = b"DACIDS01"
@@ -168,13 +168,14 @@ def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, file_token
             return pa.RecordBatch.from_pydict(row, schema=MANIFEST)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = enc.ids(text.as_py())
-                ids.append(doc_id)
-                parts.append(got)
-                total += len(got)
-                if total >= file_tokens:
-                    yield flush()
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                for doc_id, got in zip(keys[a:b], enc.ids(texts[a:b])):
+                    ids.append(doc_id)
+                    parts.append(got)
+                    total += len(got)
+                    if total >= file_tokens:
+                        yield flush()
         if ids:
             yield flush()
 

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import load
-from pagegrain.llm.tokens import crc32_of, encoder, vocabulary
+from pagegrain.llm.tokens import crc32_of, encoder, slices, vocabulary
 from pagegrain.sources.scratch import materialize
 
 CAPACITY = 2048
@@ -106,13 +106,14 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY) -> DataFrame:
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = enc.ids(text.as_py())
-                at = len(ids) % capacity or capacity
-                cuts = [0, *range(at, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    rows.append((doc_id, k, a, b - a, crc32_of(ids[a:b]), part, int(seen[b - a])))
-                    seen[b - a] += 1
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, j in slices(texts):
+                for doc_id, ids in zip(keys[i:j], enc.ids(texts[i:j])):
+                    at = len(ids) % capacity or capacity
+                    cuts = [0, *range(at, len(ids) + 1, capacity)]
+                    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        rows.append((doc_id, k, a, b - a, crc32_of(ids[a:b]), part, int(seen[b - a])))
+                        seen[b - a] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 

@@ -2,8 +2,9 @@
 
 The vocabulary's pre-tokeniser never lets a token run from a printing character into
 the space after it, so a text without white space on both sides of a space may be cut
-before each space. The parts repeat a lot; their ids are remembered per worker, up to a
-fixed number of parts. Any other text goes through the tokenizers library whole.
+before each space. The parts repeat a lot; the ids that the tokenizers library gives them
+are remembered per worker, up to a fixed number of parts. Any other text goes through the
+library whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import numpy as np
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
+SIGNS = ".,;:!?\n"
 _TRIPLE = re.compile(r"\s \s")
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in any version of Unicode
+_WORDS = re.compile(f"({_LATIN})([.,;:!?]?)(?:\n({_LATIN})([.,;:!?]?))?")
 
 
 def vocabulary(name: str = DEFAULT) -> str:
@@ -24,42 +28,86 @@ def vocabulary(name: str = DEFAULT) -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 1_000_000):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.most = remembered
-        self.parts: dict[str, bytes] = {}
+        pieces = self.tok.get_vocab()
+        self.spaced = np.zeros(max(pieces.values()) + 1, bool)
+        self.spaced[[i for p, i in pieces.items() if p[0] == "\u0120"]] = True  # the byte-level sign of a space
+        self.parts: dict[str, bytes] = {}  # ids of " " + part
+        self.bare: dict[str, bytes] = {}  # ids of words that begin a line
+        self.signs = {"": b"", None: b""} | dict(zip(SIGNS, self._plain(list(SIGNS))))
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian integers of ``self.kind``."""
-        if _TRIPLE.search(text):
-            return self._plain([text])[0]
-        head, *parts = text.split(" ")
-        get = self.parts.get
-        out = [get(p) for p in parts]
-        if None in out:
-            new = list({p for p, o in zip(parts, out) if o is None})
-            made = dict(zip(new, self._plain([" " + p for p in new])))
-            out = [made[p] if o is None else o for p, o in zip(parts, out)]
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            self.parts.update((p, b) for p, b in made.items() if len(p) <= 40)
-        first = self._plain([head])[0] if head else b""
-        return first + b"".join(out)
-
-    def ids(self, text: str | None, end: int | None = 0) -> np.ndarray:
-        """Ids of a text (null: empty), then ``end``."""
-        raw = self.packed(text) if text else b""
-        if end is not None:
-            raw += np.array([end], self.kind).tobytes()
-        return np.frombuffer(raw, self.kind)
-
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of ``" " + part`` for parts that neither begin nor end with white space.
+
+        They are encoded many at a time. Only a part's first token begins with a space,
+        which tells where each part begins.
+        """
+        out = []
+        texts = [" " + " ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
+        for found in self.tok.encode_batch(texts, add_special_tokens=False):
+            ids = np.array(found.ids, self.kind)
+            raw = ids.tobytes()
+            cut = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.kind.itemsize
+            out += [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if len(out) != len(parts):
+            raise ValueError("a part's first token does not begin with a space")
+        return out
+
+    def _lined(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts made of letters alone, without a space before."""
+        out = []
+        for found in self.tok.encode_batch(["\n".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)], add_special_tokens=False):
+            ids = np.array(found.ids, self.kind)
+            raw, size = ids.tobytes(), self.kind.itemsize
+            cut = [-1, *np.flatnonzero(ids == self.newline).tolist(), len(ids)]
+            out += [raw[(i + 1) * size : j * size] for i, j in zip(cut, cut[1:])]
+        if len(out) != len(parts):
+            raise ValueError("lines do not keep apart")
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember the ids of ``" " + part``. A word with a sign after it, alone or before a
+        new line and another such word, is put together from ids of its pieces: letters,
+        signs and line ends are apart for the pre-tokeniser."""
+        made = [(p, m.groups()) for p, m in ((p, _WORDS.fullmatch(p)) for p in new) if m]
+        cores = list({g[0] for _, g in made}.difference(self.parts))
+        easy = [p for p in new.difference(p for p, _ in made) if p and not p[0].isspace() and not p[-1].isspace()]
+        self.parts.update(zip(cores + easy, self._joined(cores + easy)))
+        lines = list({g[2] for _, g in made if g[2]}.difference(self.bare))
+        self.bare.update(zip(lines, self._lined(lines)))
+        for p, (word, sign, line, after) in made:
+            got = self.parts[word] + self.signs[sign]
+            self.parts[p] = got + self.signs["\n"] + self.bare[line] + self.signs[after] if line else got
+        rest = list(new.difference(self.parts))
+        self.parts.update(zip(rest, self._plain([" " + p for p in rest])))
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian integers of ``self.kind``."""
+        cut = [None if not t or _TRIPLE.search(t) else t.split(" ") for t in texts]
+        parts = set().union(*(c[1:] for c in cut if c))
+        if len(self.parts) + len(self.bare) > self.most:  # the parts in use stay
+            self.parts, self.bare = {p: self.parts[p] for p in parts & self.parts.keys()}, {}
+        if new := parts.difference(self.parts):
+            self._learn(new)
+        heads = iter(self._plain([c[0] for c in cut if c]))
+        whole = iter(self._plain([t for t, c in zip(texts, cut) if t and not c]))
+        get = self.parts.__getitem__
+        return [(next(heads) + b"".join(map(get, c[1:]))) if c else next(whole) if t else b"" for t, c in zip(texts, cut)]
+
+    def ids(self, texts: list[str | None], end: int | None = 0) -> list[np.ndarray]:
+        """Ids of each text, then ``end``."""
+        last = b"" if end is None else np.array([end], self.kind).tobytes()
+        return [np.frombuffer(raw + last, self.kind) for raw in self.many(texts)]
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -71,6 +119,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def slices(texts: list[str | None], most: int = 1 << 21):
+    """Ranges of rows with about ``most`` characters."""
+    a = n = 0
+    for b, t in enumerate(texts, 1):
+        n += len(t or "")
+        if n >= most or b == len(texts):
+            yield a, b
+            a, n = b, 0
+
+
 def crc32_of(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers."""
     import zlib

@@ -79,8 +79,8 @@ def segments(d):
 @view
 def pixels(d):
     """Rows of grey values from embeddings: page = label, y = rank of vec_id."""
-    return f"""select label as page_id, row_number() over (partition by label order by vec_id) - 1 as y, cast(x as bigint) as x, cast(floor(128 + 100 * cast(v as double)) as bigint) as gray
-        from embeddings {d.array_rows('embedding', 'v', 'x')}"""
+    return f"""select page_id, y, cast(x as bigint) as x, cast(floor(128 + 100 * cast(v as double)) as bigint) as gray
+        from (select label as page_id, row_number() over (partition by label order by vec_id) - 1 as y, embedding from embeddings) e {d.array_rows('embedding', 'v', 'x')}"""
 
 
 @view

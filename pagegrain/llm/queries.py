@@ -29,5 +29,26 @@ def queries() -> dict:
     }
 
 
+WORDS = "d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents)"
+
+OP6_SQL = f"""with {WORDS},
+win as (select doc_id, i as pos, array_to_string(w[i:i + 12], ' ') as k from d, unnest(range(1, len(w) - 11)) t(i)),
+early as (select k, min(doc_id) as least from win group by k),
+gone as (select distinct win.doc_id, pos + j as i from win join early using (k), unnest(range(0, 13)) u(j) where least < win.doc_id),
+every as (select doc_id, i, w[i] as word from d, unnest(range(1, len(w) + 1)) t(i)),
+kept as (select every.doc_id, string_agg(word, ' ' order by every.i) as t, count(*) as n from every anti join gone on every.doc_id = gone.doc_id and every.i = gone.i group by every.doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+OP9_SQL = f"""with recursive {WORDS},
+sh as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(i) where len(w) > 0),
+sz as (select doc_id, count(*) as n, sha256(string_agg(s, '|' order by s)) as sig from sh group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b using (s) where a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+pairs as (select a, b from met join sz x on x.doc_id = a join sz y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+reach(x, y) as (select doc_id, doc_id from d union select r.x, p.b from reach r join pairs p on r.y = p.a),
+same as (select doc_id, count(*) over (partition by sig) as n_same from sz)
+select d.doc_id, min(y) as class_id, any_value(coalesce(n_same, 1)) as n_same from d join reach on x = d.doc_id left join same on same.doc_id = d.doc_id group by d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Those that SQL can express; tests compare the others with brute force."""
+    return {"op6_substring_dedup": OP6_SQL, "op9_minhash_near_dedup": OP9_SQL}

@@ -8,7 +8,8 @@ All counts come from every training document and are summed by Spark; the tables
 fixed size.
 
 A document mixes the predictors in the logistic domain with a set of weights chosen by a
-gate (how often the word predictor has seen the place), and refines the result by an adaptive map from the mixed
+gate (how often the word predictor has seen the place), and refines the result by an
+adaptive map from the mixed
 estimate to observed frequencies. Weights and map follow the document: after each block
 of it they take a step against the coding error. Every document begins with the weights
 that documents of one training fold, kept out of the counts, end with on average.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pagegrain.llm.common import Texts, fold, load, mix, texts, words
 from pagegrain.sources.scratch import Stored
 
-BITS = 21
+BITS = 20
 SIZE = 1 << BITS
 HOT = 1 << 16
 GATES, MAP = 8, 24
@@ -48,7 +49,7 @@ def stretch(p):
 class Coded:
     """The bytes to code of a slice, with their contexts: each row's bytes, then the end mark."""
 
-    def __init__(self, t: Texts):
+    def __init__(self, t: Texts, contexts: bool = True):
         size = np.diff(t.ends) + 1
         self.rows, self.size = t.rows, size
         first = np.cumsum(size) - size
@@ -58,18 +59,20 @@ class Coded:
         pad[np.arange(len(t.data)) + 5 * row + 4] = _LOWER[t.data]
         self.row = np.repeat(np.arange(t.rows, dtype=np.int32), size)
         at = np.arange(len(self.row)) + 4 * self.row.astype(np.int64) + 4
-        self.nth = np.arange(len(self.row)) - first[self.row]
         self.now, self.before = pad[at], pad[at - 1]
+        if not contexts:
+            return
+        self.nth = np.arange(len(self.row)) - first[self.row]
         wide = pad.astype(np.uint32)
         with np.errstate(over="ignore"):
-            four = wide.copy()
-            for k in (1, 2, 3):
-                four[k:] |= wide[:-k] << np.uint32(8 * k)
-            self.four = (four[at - 1] * np.uint32(0x9E3779B1)) ^ (four[at - 1] >> np.uint32(15))
             power = np.cumprod(np.full(len(pad), _MUL))
             total = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[pad] * power)])
             space = (pad <= 0x20) | (pad == END)
             begin = np.maximum.accumulate(np.where(space, np.arange(1, len(pad) + 1), 0))[at - 1]
+            four = wide.copy()
+            for k in (1, 2, 3):
+                four[k:] |= wide[:-k] << np.uint32(8 * k)
+            self.four = (four[at - 1] * np.uint32(0x9E3779B1)) ^ (four[at - 1] >> np.uint32(15))
             back = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(pad), _INV))])
             self.word = (mix((total[at] - total[begin]) * back[begin], 7) >> np.uint64(32)).astype(np.uint32)
 
@@ -134,7 +137,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for t in texts(batch.column(0)):
                 rows += t.rows
-                c = Coded(t)
+                c = Coded(t, contexts=False)
                 pairs += np.bincount(c.before.astype(np.int64) << 8 | c.now, minlength=1 << 16)
                 k, n = np.unique(words(t._replace(data=_LOWER[t.data])).hash, return_counts=True)
                 keys.append(k), counts.append(n)
@@ -160,18 +163,19 @@ def tables(docs: DataFrame, trees: Trees) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        tree, counts = sent.value, np.zeros(4 * SIZE, np.int32)
+        tree, counts = sent.value, np.zeros(4 * SIZE, np.int64)
         for batch in batches:
-            for t in texts(batch.column(0)):
+            for t in texts(batch.column(0), 1 << 21):
                 c = Coded(t)
-                for a in range(0, len(c.now), 1 << 16):
-                    s = slice(a, a + (1 << 16))
+                for a in range(0, len(c.now), 1 << 18):
+                    s = slice(a, a + (1 << 18))
                     byte, at = tree.steps(c.before[s], c.now[s])
                     node, bit = tree.nodes[at], tree.bits[at].astype(np.uint32)
                     for k, context in enumerate((c.four[s], c.word[s])):
-                        np.add.at(counts, slots(node, context[byte], k) * np.uint32(2) + bit + np.uint32(2 * SIZE * k), 1)
+                        got = slots(node, context[byte], k) * np.uint32(2) + bit
+                        counts[2 * SIZE * k : 2 * SIZE * (k + 1)] += np.bincount(got, minlength=2 * SIZE)
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
     # a task sends at most 4 * SIZE rows, so let it count a few input splits
     parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism

@@ -10,7 +10,12 @@ document are ever made, about ``K ln K`` of them and not ``K`` for each shingle.
 Equal sets are one node. Nodes that agree on a whole band meet in its bucket; there each
 is compared with the bucket's first node only, and the links give classes. Whatever
 bucket then still holds more than one class has the rest of its pairs between different
-classes compared, so no class is missed and a large group of copies costs few pairs.
+classes compared, so no class is missed and a large group of copies costs few pairs. Left
+out are nodes that provably have no link: a cell that only one of these nodes has cannot
+be shared, and a node with too many of them cannot be similar enough to any node of the
+bucket's sizes.
+
+Joins on ids and pairs, which grow with the documents, are never broadcast.
 """
 
 from __future__ import annotations
@@ -176,7 +181,8 @@ def checked(pairs: DataFrame, cells: DataFrame, least: float) -> DataFrame:
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sims)], ["a", "b", "similarity"])
 
-    got = pairs.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b").select("a", "b", "ca", "cb")
+    left, right = cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("ca")), cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("cb"))
+    got = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ca", "cb")
     return got.mapInArrow(run, "a long, b long, similarity double")
 
 
@@ -195,6 +201,22 @@ def cells_of(docs: DataFrame, weight: str = "set") -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, cells binary")
 
 
+def private_cells(cells: DataFrame) -> DataFrame:
+    """``node``, its number of cells and how many of them no other row of ``cells`` has."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.frombuffer(c.as_buffer(), np.int32) for c in batch.column(1)]
+            node = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
+            if len(node):
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(parts))], ["node", "cell"])
+
+    rows = cells.select("doc_id", "cells").mapInArrow(run, "node long, cell int")
+    alone = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    size = cells.select(F.col("doc_id").alias("node"), (F.octet_length("cells") / 4).alias("size"))
+    return size.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("private")), "node", "left").fillna(0, ["private"])
+
+
 def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataFrame:
     """doc_id, class_id and n_same of every row of ``docs`` (doc_id, text).
 
@@ -208,13 +230,13 @@ def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataF
     node = full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n_same"))
     node = Stored(node, "near-nodes")
     # a row per node: the row of its least doc_id has the bands of all of them
-    first = full.join(node.df, ["fp1", "fp2"]).where("doc_id = node")
+    first = full.join(node.df.hint("merge"), ["fp1", "fp2"]).where("doc_id = node")
     keys = Stored(first.select("node", F.explode("bands").alias("key")).distinct(), "near-keys")
     hubs = keys.df.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a")
-    met = keys.df.join(hubs, "key").where("node > a")
+    met = keys.df.join(hubs.hint("merge"), "key").where("node > a")
     pairs = Stored(met.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
     ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
-    cells = Stored(cells_of(docs.join(ends, "doc_id", "left_semi"), weight).dropDuplicates(["doc_id"]), "near-cells")
+    cells = Stored(cells_of(docs.join(ends.hint("merge"), "doc_id", "left_semi"), weight).dropDuplicates(["doc_id"]), "near-cells")
     links = Stored(checked(pairs.df, cells.df, least), "near-links")
     # texts of one id
     same = full.select("doc_id", "fp1", "fp2").join(node.df, ["fp1", "fp2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -225,9 +247,16 @@ def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataF
     of = Stored(keys.df.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-of")
     mixed = of.df.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("key")
     some = of.df.join(mixed, "key")
+    inside = some.select(F.col("node").alias("doc_id")).distinct()
+    facts = Stored(private_cells(cells.df.join(inside.hint("merge"), "doc_id", "left_semi")), "near-facts")
+    some = some.join(facts.df.hint("merge"), "node")
+    smallest = some.groupBy("key").agg(F.min("size").alias("smallest"))
+    # a link shares at least least / (1 + least) of both sizes
+    able = F.col("size") - F.col("private") >= least / (1 + least) * (F.col("size") + F.col("smallest")) - 1e-6
+    some = Stored(some.join(smallest, "key").where(able).select("key", "node", "root"), "near-able").df
     other = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     rest = some.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
-    rest = Stored(rest.join(pairs.df, ["a", "b"], "left_anti"), "near-rest")
+    rest = Stored(rest.join(pairs.df.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
     more = Stored(checked(rest.df, cells.df, least), "near-more")
     if more.df.limit(1).count():
         root = components(links.df.select("a", "b").union(again).union(more.df.select("a", "b")), "near-stars")
@@ -243,7 +272,7 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     least text. Rows without an id all stay.
     """
     keep = classes(load(docs), least).where("class_id = doc_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    rows = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     return rows.withColumn("_nth", nth).where("_nth = 1").select(docs.columns).union(docs.where("doc_id is null"))
 

@@ -100,7 +100,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """One row, one array: ln(p_target / p_raw) of each bucket. Its size is fixed."""
     ids = trusted.where("doc_id is not null").select("doc_id", F.lit(1).alias("t")).distinct()
     words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    marked = docs.join(ids, "doc_id", "left").select("t", _grams(words).alias("grams"))
+    # labels grow with the documents: never a broadcast, at any size
+    marked = docs.join(ids.hint("merge"), "doc_id", "left").select("t", _grams(words).alias("grams"))
     # the outer form spares a filter on the array's size, which would compute it twice
     rows = marked.select("t", F.explode_outer("grams").alias("b")).where("b is not null")
     counts = rows.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("target"))

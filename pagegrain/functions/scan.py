@@ -134,7 +134,8 @@ def islands(
     df = df.withColumn("_s", start).withColumn("_e", end)
     bucket = F.floor(F.col("_s") / bucket_width)
     df = running(df, keys, ["_s", "_e"], bucket, F.col("_e"), "_reach", "max", inclusive=False)
-    # an interval that begins where an island opens belongs to it, whichever of equal ones comes first
+    # of intervals with one start the one that opens an island goes first, whatever their ends
     opens = F.when(F.col("_reach").isNull() | (F.col("_s") > F.col("_reach")), F.col("_s"))
-    df = running(df, keys, ["_s", "_e"], bucket, opens, out, "max")
-    return df.drop("_s", "_e", "_reach")
+    df = df.withColumn("_opens", opens)
+    df = running(df, keys, ["_s", F.col("_opens").desc_nulls_last()], bucket, F.col("_opens"), out, "max")
+    return df.drop("_s", "_e", "_reach", "_opens")

@@ -8,8 +8,8 @@ Two forms:
 * ``remove_repeats``: against all documents with a smaller id. Here the reference is the
   corpus itself; automata of all its shards cannot be sent to every task, and every
   document against every shard is quadratic (figures in README.md). A 13-word span is a
-  match exactly if its windows are, so windows are compared by 128-bit hashes instead:
-  each window names its least 5-word hash (an anchor); windows whose anchor occurs in one
+  match exactly if its windows are, so windows are compared by 96-bit hashes instead:
+  each window names its least 8-word hash (an anchor); windows whose anchor occurs in one
   document only are dropped by a bitmap of a fixed size, the rest meet their equals in a
   shuffle that keeps the least doc_id of each. The bitmap only spares work: what it lets
   through too much is compared exactly.
@@ -22,13 +22,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import load, texts, windows, words
 from pagegrain.sources.scratch import Stored
 
 LENGTH = 13
-ANCHOR = 5
+ANCHOR = 8
 BITS = 27
 SHARD_WORDS = 200_000
 
@@ -166,23 +167,33 @@ def shared_anchors(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> n
                 yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64))], ["h"])
 
     rows = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    place = F.pmod("h", F.lit(1 << bits)) + 1  # these functions number bits and buckets from 1
+    return bitmap_of(rows, "h", bits)
+
+
+def bitmap_of(rows: DataFrame, key: str, bits: int) -> np.ndarray:
+    """``2 ** bits`` places, those of ``key`` set; rows meet in at most 2 ** bits / 32768 pieces of 4 KB."""
+    place = F.pmod(key, F.lit(1 << bits)) + 1  # these functions number bits and buckets from 1
     maps = rows.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, m in maps.toLocalIterator():  # at most 2 ** bits / 32768 rows of 4 KB
+    for k, m in maps.toLocalIterator():
         out[(k - 1) * 4096 : k * 4096] = np.frombuffer(m, np.uint8)[: len(out)]
     return out
 
 
+def _set(bitmap: np.ndarray, key: np.ndarray) -> np.ndarray:
+    p = (key.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)).astype(np.int64)
+    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> DataFrame:
     """Digest rows of ``docs`` (doc_id, text) without words covered by windows of smaller ids.
 
     Windows are judged on the input. Null text has no words; a row without an id is
     neither a reference nor cut; rows of one id are no repeats of each other.
     """
-    docs = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    sent = docs.sparkSession.sparkContext.broadcast(shared_anchors(docs, length, bits))
-    mask = np.uint64((1 << bits) - 1)
+    docs = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", F.hash("text").alias("t"))
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(shared_anchors(docs, length, bits))
 
     def candidates(batches):
         bitmap = sent.value
@@ -190,11 +201,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> D
             for t in texts(batch.column(2)):
                 w = words(t)
                 a, same = _anchors(w, length)
-                p = (a & mask).astype(np.int64)
-                at = np.flatnonzero(same & ((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0))
+                at = np.flatnonzero(same & _set(bitmap, a))
                 if not len(at):
                     continue
-                k1, k2 = (windows(w, length, s)[0][at].view(np.int64) for s in (21, 22))
+                k1 = windows(w, length, 21)[0][at].view(np.int64)
+                k2 = (windows(w, length, 22)[0][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 row = w.row[at]
                 cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True])
                 lists = pa.array(cut, pa.int32())
@@ -204,15 +215,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> D
                         *(batch.column(i).slice(t.first, t.rows).take(ids) for i in (0, 1)),
                         *(pa.ListArray.from_arrays(lists, pa.array(x)) for x in (k1, k2, (at - w.first[row]).astype(np.int32))),
                     ],
-                    ["doc_id", "th", "k1", "k2", "pos"],
+                    ["doc_id", "t", "k1", "k2", "pos"],
                 )
 
-    kept = docs.where("doc_id is not null").select("doc_id", "th", "text")
-    found = kept.mapInArrow(candidates, "doc_id long, th long, k1 array<long>, k2 array<long>, pos array<int>")
-    found = Stored(found, "repeat-windows").df
-    found = found.select("doc_id", "th", F.inline(F.arrays_zip("k1", "k2", "pos")))
-    least = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    gone = found.join(least, ["k1", "k2"]).where("doc_id > least").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("pos"))
+    kept = docs.where("doc_id is not null").select("doc_id", "t", "text")
+    made = kept.mapInArrow(candidates, "doc_id long, t int, k1 array<long>, k2 array<int>, pos array<int>")
+    # 32 bits tell the texts of one id apart
+    found = made.select("doc_id", "t", F.inline(F.arrays_zip("k1", "k2", "pos")))
+    # the first of equal windows is the one with the least id; a running value, so no group is held in memory
+    least = F.first("doc_id").over(W.partitionBy("k1", "k2").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow))
+    gone = found.withColumn("least", least).where("doc_id > least").groupBy("doc_id", "t").agg(F.collect_set("pos").alias("pos"))
+    gone = Stored(gone, "repeat-positions").df
+    cut_rows = context.broadcast(bitmap_of(gone.select(F.xxhash64("doc_id", "t").alias("h")), "h", bits))
+    docs = docs.select("doc_id", "text", "t").withColumn("h", F.xxhash64("doc_id", "t"))
+
+    def rows_to_cut(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_set(cut_rows.value, batch.column(3).to_numpy().view(np.uint64))))
+
+    def whole(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(~_set(cut_rows.value, batch.column(3).to_numpy().view(np.uint64))))
+            rows = []
+            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seq = (t or "").encode().split()
+                rows.append(_digest(doc_id, seq, np.zeros(len(seq), bool)))
+            if rows:
+                yield _batch(rows)
 
     def cut(batches):
         for batch in batches:
@@ -228,7 +257,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bits: int = BITS) -> D
             if rows:
                 yield _batch(rows)
 
-    return docs.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "pos").mapInArrow(cut, _OUT)
+    some = docs.mapInArrow(rows_to_cut, docs.schema).join(gone.hint("merge"), ["doc_id", "t"], "left")
+    return docs.mapInArrow(whole, _OUT).union(some.select("doc_id", "text", "pos").mapInArrow(cut, _OUT))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -128,6 +128,8 @@ class Index:
             lo, hi = max(a, start - most), min(b, start + len(w) + most)
             if hi - lo < len(w) - most:
                 continue
+            if (~np.isin(w, h[lo:hi])).sum() > most:  # a word that is not there costs an edit
+                continue
             d, x, y = edit_distance(w, h[lo:hi])
             if d <= most and d < best.get((row, k), (most + 1,))[0]:
                 best[row, k] = d, lo + x - a, lo + y - a

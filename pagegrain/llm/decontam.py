@@ -7,11 +7,15 @@ distance then differ in few steps, so sampled steps of the walk are a locality-s
 hash of the edit distance.
 
 Every word of every document begins a window, and so does every word of an item; both are
-walked alike, ``WIDTH`` steps over a window of ``WIDTH`` words that slides over the whole
-item (shorter items: as many as they have). ``ROUNDS`` walks with their own bits and own
-sampled steps find candidates, and each candidate's item-sized stretch of the document is
-compared with the item by its exact word edit distance. An item of n words that is found
-with at most ``0.2 n`` edits is a leak.
+walked alike, some steps over a window of as many words that slides over the whole item.
+Several walks with their own bits and own sampled steps find candidates, and each
+candidate's item-sized stretch of the document is compared with the item by its exact word
+edit distance. An item of n words that is found with at most ``0.2 n`` edits is a leak.
+
+The fewer words an item has, the shorter are the stretches that ``0.2 n`` edits leave
+whole, so ``PLANS`` has shorter windows for shorter items. They are chosen for a recall of
+at least 0.99 at that bound for every length; items of fewer than five words may have no
+edit and are all found.
 """
 
 from __future__ import annotations
@@ -25,20 +29,27 @@ from pyspark.sql import functions as F
 
 from pagegrain.llm.common import load, mix, plainly, texts, words
 
-WIDTH = 12
-ROUNDS = 4
+#: For items of at least so many words: words of a window (as many steps), sampled steps, walks.
+PLANS = ((30, 12, 8, 4), (15, 8, 5, 4), (10, 6, 4, 4), (5, 3, 3, 4), (1, 4, 4, 1))
 EDITS = 0.2
 BLOCK = 20_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sampled(width: int, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The steps that each round looks at: two thirds of them, at random, in order."""
+def plan(n: int) -> tuple[int, int, int]:
+    """Window, sampled steps and walks for items of ``n`` words (at least one)."""
+    width, steps, rounds = next(p[1:] for p in PLANS if n >= p[0])
+    return min(width, n), min(steps, n), rounds
+
+
+@lru_cache
+def sampled(width: int, steps: int, rounds: int) -> list[np.ndarray]:
+    """The steps that each round looks at: ``steps`` of them, at random, in order."""
     rng = np.random.default_rng(1000 + width)
-    return [np.sort(rng.choice(width, max(1, width * 2 // 3), replace=False)) for _ in range(rounds)]
+    return [np.sort(rng.choice(width, steps, replace=False)) for _ in range(rounds)]
 
 
-def walk_keys(h: np.ndarray, width: int, round_: int) -> np.ndarray:
+def walk_keys(h: np.ndarray, width: int, steps: int, rounds: int, round_: int) -> np.ndarray:
     """LSH key of the walk from each place of ``h`` (word hashes) that has ``width`` words.
 
     Worked out from the last step to the first for all places at once: the key from step j
@@ -48,7 +59,7 @@ def walk_keys(h: np.ndarray, width: int, round_: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     move = mix(h, 500 + round_)  # bit j: does the pointer move on at step j
-    look = set(sampled(width)[round_].tolist())
+    look = set(sampled(width, steps, rounds)[round_].tolist())
     key = np.zeros(len(h) + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(width - 1, -1, -1):
@@ -78,21 +89,29 @@ def edit_distance(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return int(row[to]), int(begin[to]), to
 
 
+def marks(h: np.ndarray) -> np.ndarray:
+    """A set of 256 bits with the one bit of each word: (4, words)."""
+    bit = np.uint64(1) << (h >> np.uint64(56) & np.uint64(63))
+    return np.where(np.arange(4, dtype=np.uint64)[:, None] == h >> np.uint64(62), bit, np.uint64(0))
+
+
 class Index:
     """LSH keys of a block of items: key -> (item, word of the item at which its window begins)."""
 
-    def __init__(self, items: list[tuple[object, str]], width: int = WIDTH):
+    def __init__(self, items: list[tuple[object, str]]):
         table = pa.array([t for _, t in items], pa.large_string())
         self.ids, self.words = [i for i, _ in items], []
         for t in texts(table):
             w = words(plainly(t))
             self.words += [w.hash[a:b] for a, b in zip(w.first, w.first[1:])]
-        self.tables: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
-        self.widths = sorted({min(width, len(w)) for w in self.words if len(w)})
-        for wide in self.widths:
-            own = [k for k, w in enumerate(self.words) if min(width, len(w)) == wide]
-            for r in range(ROUNDS):
-                keys = [walk_keys(self.words[k], wide, r) for k in own]
+        self.length = np.array([len(w) for w in self.words])
+        self.most = np.array([int(EDITS * len(w)) for w in self.words])
+        self.marks = np.stack([np.bitwise_or.reduce(marks(w), 1) for w in self.words]) if self.words else np.zeros((0, 4), np.uint64)
+        self.tables: dict[tuple[int, int, int, int], tuple[np.ndarray, ...]] = {}
+        for how in sorted({plan(len(w)) for w in self.words if len(w)}):
+            own = [k for k, w in enumerate(self.words) if len(w) and plan(len(w)) == how]
+            for r in range(how[-1]):
+                keys = [walk_keys(self.words[k], *how, r) for k in own]
                 key = np.concatenate(keys)
                 item = np.repeat(own, [len(x) for x in keys])
                 at = np.concatenate([np.arange(len(x)) for x in keys])
@@ -100,34 +119,49 @@ class Index:
                 key = key[order]
                 seen = np.zeros(1 << 22, bool)  # a quick no for most places
                 seen[(key >> np.uint64(42)).astype(np.int64)] = True
-                self.tables[wide, r] = key, item[order], at[order], seen
+                self.tables[*how, r] = key, item[order], at[order], seen
+
+    def likely(self, asked: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(item, start, row, from, to) of the candidates whose stretch can have enough of the item's words.
+
+        A bit of the item's words that no word of the stretch has costs an edit, so none
+        that is left out is a leak.
+        """
+        item, start = asked >> 40, (asked & (1 << 40) - 1) - (1 << 39)
+        n, most = self.length[item], self.most[item]
+        row = (np.searchsorted(first, np.maximum(0, start + n // 2), "right") - 1).clip(0, len(first) - 2)
+        lo, hi = np.maximum(first[row], start - most), np.minimum(first[row + 1], start + n + most)
+        live = hi - lo >= np.maximum(1, n - most)
+        level = np.frexp(np.maximum(1, hi - lo))[1] - 1
+        missing = np.zeros(len(item), np.int64)
+        cover = marks(h)  # of the 2**j words from each place on
+        for j in range(int(level[live].max(initial=-1)) + 1):
+            at = np.flatnonzero(live & (level == j))
+            there = cover[:, lo[at]] | cover[:, hi[at] - (1 << j)]
+            missing[at] = np.bitwise_count(self.marks[item[at]].T & ~there).sum(0)
+            cover = cover[:, : -(1 << j)] | cover[:, 1 << j :]
+        at = np.flatnonzero(live & (missing <= most))
+        return list(zip(*(x[at].tolist() for x in (item, start, row, lo, hi))))
 
     def leaks(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, edits, from word, to word) of a slice's words; the best find of each row and item."""
-        asked: set[tuple[int, int]] = set()
-        for (wide, r), (key, item, at, seen) in self.tables.items():
-            got = walk_keys(h, wide, r)
+        asked = []
+        for how, (key, item, at, seen) in self.tables.items():
+            got = walk_keys(h, *how)
             place = np.flatnonzero(seen[(got >> np.uint64(42)).astype(np.int64)])
             lo = np.searchsorted(key, got[place], "left")
             n = np.searchsorted(key, got[place], "right") - lo
             place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
             each = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            asked.update(zip(item[each].tolist(), (np.repeat(place, n) - at[each]).tolist()))
+            asked.append(np.unique(item[each] << 40 | np.repeat(place, n) - at[each] + (1 << 39)))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, start in sorted(asked):
-            w = self.words[k]
-            most = int(EDITS * len(w))
-            row = int(np.searchsorted(first, max(0, start + len(w) // 2), "right")) - 1
-            row = min(max(row, 0), len(first) - 2)
-            a, b = int(first[row]), int(first[row + 1])
+        for k, start, row, lo, hi in self.likely(np.unique(np.concatenate(asked)) if asked else np.zeros(0, np.int64), h, first):
+            w, most, a, b = self.words[k], int(self.most[k]), int(first[row]), int(first[row + 1])
             if (row, k) in best and best[row, k][0] == 0:
                 continue
             if a <= start and start + len(w) <= b and (h[start : start + len(w)] == w).all():
                 best[row, k] = 0, start - a, start + len(w) - a
                 continue
-            lo, hi = max(a, start - most), min(b, start + len(w) + most)
-            if hi - lo < len(w) - most:
-                continue
             if (~np.isin(w, h[lo:hi])).sum() > most:  # a word that is not there costs an edit
                 continue
             d, x, y = edit_distance(w, h[lo:hi])

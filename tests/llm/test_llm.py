@@ -182,6 +182,34 @@ def test_leaks_exact_and_edited(spark):
     assert decontam.leaks(d, b.limit(0)).count() == 0 and decontam.leaks(d.limit(0), b).count() == 0
 
 
+def leak_recall(n, trials):
+    """Share of the items of ``n`` words that are found where ``0.2 n`` edits were made (brute force agrees that they are leaks)."""
+    r = random.Random(100 + n)
+    items, rows, most = [], [], int(0.2 * n)
+    for k in range(trials):
+        item = [f"w{k}x{i}y{r.getrandbits(60)}" for i in range(n)]
+        w = list(item)
+        for e in range(most):
+            i = r.randrange(len(w))
+            kind = r.randrange(3) if k % 2 else 0
+            w[i : i + (kind < 2)] = [] if kind == 1 else [f"e{k}x{e}"]
+        assert edit(item, w) <= most
+        items.append((k, " ".join(item)))
+        rows.append(" ".join([*(f"a{k}x{i}" for i in range(10)), *w, *(f"b{k}x{i}" for i in range(10))]))
+    index, found = decontam.Index(items), 0
+    for t in texts(pa.array(rows)):
+        w = words(decontam.plainly(t))
+        got = index.leaks(w.hash, w.first)
+        assert all(row + t.first == k and d <= most for row, k, d, _, _ in got)
+        found += len(got)
+    return found / trials
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 8, 9, 10, 12, 14, 15, 16, 20, 29, 30, 45])
+def test_leak_recall_by_length(n):
+    assert leak_recall(n, 400) >= 0.985  # the aim is 0.99; 400 trials
+
+
 # ---- 4 language
 
 

@@ -4,8 +4,9 @@ Texts are coded byte by byte (A-Z in lower case, then an end mark). Each byte is
 binary decisions in a Huffman tree that belongs to the byte before it. Three predictors
 give each decision a probability: the tree's own counts (one byte of context), hashed
 counts after the last four bytes, and hashed counts after the current word's beginning.
-All counts come from every training document and are summed by Spark; the tables have a
-fixed size.
+All counts come from every training document and are summed by Spark. The tables of the
+hashed counts grow with the text: they have at least ``SPREAD`` places for each distinct
+pair of a context and the byte after it.
 
 A document mixes the predictors in the logistic domain with a set of weights chosen by a
 gate (how often the word predictor has seen the place), and refines the result by an
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from pagegrain.llm.common import Texts, fold, load, mix, texts, words
 from pagegrain.sources.scratch import Stored
 
-BITS = 20
-SIZE = 1 << BITS
+LEAST_BITS = 21  # of the places of a table
+SPREAD = 4
+SKETCH = 12  # bits of the registers that estimate the distinct pairs
 HOT = 1 << 16
 GATES, MAP = 8, 24
 RATE, MAP_PRIOR = 0.002, 20.0
@@ -118,26 +120,51 @@ class Trees:
         return byte, np.repeat(self.offset[before, now], n) + inside
 
 
-def slots(node: np.ndarray, context: np.ndarray, k: int) -> np.ndarray:
-    """Places in table ``k`` for decisions at ``node`` after ``context``."""
+def slots(node: np.ndarray, context: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Places in table ``k`` of ``2**bits`` for decisions at ``node`` after ``context``."""
     with np.errstate(over="ignore"):
         x = (context + node.astype(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35 + 2 * k)
-        return (x ^ (x >> np.uint32(13))) >> np.uint32(32 - BITS)
+        return (x ^ (x >> np.uint32(13))) >> np.uint32(32 - bits)
+
+
+def sketch(seen: np.ndarray, c: Coded) -> None:
+    """Enter a slice's distinct pairs of a context and the byte after it into ``seen`` (2, 2**SKETCH).
+
+    A register has the greatest rank (leading zeros and one) of its hashes (HyperLogLog).
+    """
+    for k, context in enumerate((c.four, c.word)):
+        h = mix(np.unique(context.astype(np.uint64) << np.uint64(8) | c.now), 41)
+        rank = 65 - SKETCH - np.frexp((h & np.uint64((1 << 64 - SKETCH) - 1)).astype(np.float64))[1]
+        np.maximum.at(seen[k], (h >> np.uint64(64 - SKETCH)).astype(np.int64), rank)
+
+
+def distinct_of(seen: np.ndarray) -> float:
+    """The number of distinct pairs by one row of registers."""
+    m = len(seen)
+    found = 0.7213 / (1 + 1.079 / m) * m * m / (2.0**-seen).sum()
+    none = int((seen == 0).sum())
+    return m * np.log(m / none) if none and found <= 2.5 * m else found
+
+
+def bits_for(seen: np.ndarray) -> list[int]:
+    """Bits of the places of each table, by the registers of all training rows."""
+    return [max(LEAST_BITS, int(np.ceil(np.log2(SPREAD * max(1, distinct_of(x)))))) for x in seen]
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """``key``, ``n``: words of the training rows by hash, and (``pair`` true) pairs of coded bytes.
 
-    Key -1 of the pairs is the number of rows.
+    Key -1 of the pairs is the number of rows; key ``-2 - (64 * register + rank)`` says that
+    a task's sketch has this rank.
     """
 
     def run(batches):
         pairs, keys, counts = np.zeros(1 << 16, np.int64), [], []
-        rows = 0
+        rows, seen = 0, np.zeros((2, 1 << SKETCH), np.int64)
         for batch in batches:
             for t in texts(batch.column(0)):
                 rows += t.rows
-                c = Coded(t, contexts=False)
+                sketch(seen, c := Coded(t))
                 pairs += np.bincount(c.before.astype(np.int64) << 8 | c.now, minlength=1 << 16)
                 k, n = np.unique(words(t._replace(data=_LOWER[t.data])).hash, return_counts=True)
                 keys.append(k), counts.append(n)
@@ -145,12 +172,14 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             return
         key, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
-        got = np.flatnonzero(pairs)
+        got, ranks = np.flatnonzero(pairs), seen.reshape(-1)
+        at = np.flatnonzero(ranks)
+        ranks = -2 - (64 * at + ranks[at])
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([key.view(np.int64), got, [-1]])),
-                pa.array(np.concatenate([np.zeros(len(key), bool), np.ones(len(got) + 1, bool)])),
-                pa.array(np.concatenate([n, pairs[got], [rows]])),
+                pa.array(np.concatenate([key.view(np.int64), got, [-1], ranks])),
+                pa.array(np.concatenate([np.zeros(len(key), bool), np.ones(len(got) + 1 + len(ranks), bool)])),
+                pa.array(np.concatenate([n, pairs[got], [rows], np.ones(len(ranks), np.int64)])),
             ],
             ["key", "pair", "n"],
         )
@@ -158,42 +187,51 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, pair boolean, n long").groupBy("key", "pair").agg(F.sum("n").alias("n"))
 
 
-def tables(docs: DataFrame, trees: Trees) -> np.ndarray:
-    """Counts (2, SIZE, 2) of the two hashed predictors over ``docs``; the size is fixed."""
+def tables(docs: DataFrame, trees: Trees, bits: list[int]) -> list[np.ndarray]:
+    """Counts (2**bits, 2) of each of the two hashed predictors over ``docs``."""
+    base = np.cumsum([0, *(2 << b for b in bits)])
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        tree, counts = sent.value, np.zeros(4 * SIZE, np.int64)
+        tree, counts = sent.value, np.zeros(base[-1], np.int32)
         for batch in batches:
             for t in texts(batch.column(0), 1 << 21):
                 c = Coded(t)
                 for a in range(0, len(c.now), 1 << 18):
                     s = slice(a, a + (1 << 18))
                     byte, at = tree.steps(c.before[s], c.now[s])
-                    node, bit = tree.nodes[at], tree.bits[at].astype(np.uint32)
+                    node, bit = tree.nodes[at], tree.bits[at]
                     for k, context in enumerate((c.four[s], c.word[s])):
-                        got = slots(node, context[byte], k) * np.uint32(2) + bit
-                        counts[2 * SIZE * k : 2 * SIZE * (k + 1)] += np.bincount(got, minlength=2 * SIZE)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+                        got = slots(node, context[byte], k, bits[k]).astype(np.int64) * 2 + bit
+                        np.add.at(counts, got + base[k], 1)
+        for a in range(0, len(counts), 1 << 22):
+            at = np.flatnonzero(counts[a : a + (1 << 22)]) + a
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at].astype(np.int64))], ["slot", "n"])
 
-    # a task sends at most 4 * SIZE rows, so let it count a few input splits
+    # a task sends at most base[-1] rows, so let it count a few input splits
     parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
     docs = docs.select("text").coalesce(max(1, min(parts, max(2 * cores, parts // 8))))
-    rows = docs.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(4 * SIZE, np.int64)  # at most 4 * SIZE rows
-    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(2, SIZE, 2)
+    rows = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(base[-1], np.int64)  # at most base[-1] rows
+    for batch in rows.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return [out[a:b].reshape(-1, 2) for a, b in zip(base, base[1:])]
 
 
 class Model:
-    """Trees, estimates of the hashed predictors and first weights: a fixed size."""
-
-    def __init__(self, trees: Trees, counts: np.ndarray):
-        self.trees = trees
-        n = counts.sum(-1)
-        self.known = np.round(stretch((counts[..., 1] + 0.3) / (n + 0.6)) * 512).clip(-8192, 8191).astype(np.int16)
-        self.age = np.log2(n[1] + 1).astype(np.int64).clip(0, GATES - 1).astype(np.uint8)
+    """Trees, estimates of the hashed predictors and first weights."""
+
+    def __init__(self, trees: Trees, counts: list[np.ndarray]):
+        self.trees, self.size = trees, [len(c).bit_length() - 1 for c in counts]
+        self.known = [np.zeros(len(c), np.int16) for c in counts]
+        self.age = np.zeros(len(counts[1]), np.uint8)
+        for known, count in zip(self.known, counts):
+            for a in range(0, len(count), 1 << 20):
+                c = count[a : a + (1 << 20)]
+                n = c.sum(-1)
+                known[a : a + (1 << 20)] = np.round(stretch((c[:, 1] + 0.3) / (n + 0.6)) * 512).clip(-8192, 8191)
+                if count is counts[1]:
+                    self.age[a : a + (1 << 20)] = np.log2(n + 1).astype(np.int64).clip(0, GATES - 1)
         self.first = np.broadcast_to(START, (GATES, 3)).copy()
 
     def bits(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +256,7 @@ class Model:
                 byte, at = tree.steps(before, now)
                 node, bit = tree.nodes[at], tree.bits[at]
                 own = row[byte]
-                four, word = slots(node, c.four[sel][byte], 0), slots(node, c.word[sel][byte], 1)
+                four, word = slots(node, c.four[sel][byte], 0, self.size[0]), slots(node, c.word[sel][byte], 1, self.size[1])
                 gate = own * GATES + self.age[word]
                 x = (tree.own[node], self.known[0][four] * np.float32(1 / 512), self.known[1][word] * np.float32(1 / 512))
                 w = weight[gate]
@@ -268,9 +306,12 @@ def score(docs: DataFrame) -> DataFrame:
     docs = docs.select(docs.doc_id.cast("long").alias("doc_id"), "text", fold("doc_id", 7).alias("fold"))
     train = docs.where(F.col("fold") != HELD)
     known = Stored(vocabulary(train), "lm-words")
-    pairs, ends = np.zeros(1 << 16), 0
-    for key, n in known.df.where("pair").select("key", "n").collect():  # at most 65,537 rows
-        if key < 0:
+    pairs, ends, seen = np.zeros(1 << 16), 0, np.zeros(2 << SKETCH)
+    for key, n in known.df.where("pair").select("key", "n").collect():  # pairs of bytes, and some ranks a register
+        if key < -1:
+            at, rank = divmod(-2 - key, 64)
+            seen[at] = max(seen[at], rank)
+        elif key < 0:
             ends = n
         else:
             pairs[key] = n
@@ -282,7 +323,7 @@ def score(docs: DataFrame) -> DataFrame:
     for key, n in reversed(common):  # where two want a place, the more frequent has it
         hot_key[(key % 2**64) >> 44], hot_n[(key % 2**64) >> 44] = key % 2**64, n
 
-    model = Model(trees := Trees(pairs.reshape(256, 256)), tables(train.where(F.col("fold") != WEIGHTS), trees))
+    model = Model(trees := Trees(pairs.reshape(256, 256)), tables(train.where(F.col("fold") != WEIGHTS), trees, bits_for(seen.reshape(2, -1))))
     model.first = first_weights(train.where(F.col("fold") == WEIGHTS), model).astype(np.float32)
     sent = docs.sparkSession.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1)))
 

@@ -135,6 +135,23 @@ def test_lm_decisions_are_a_code():
     assert all(abs(sum(2.0 ** -n for n in row) - 1) < 1e-9 for row in tree.length.tolist())  # complete prefix codes
 
 
+def test_lm_tables_grow_with_the_contexts():
+    def registers(n):
+        seen = np.zeros((2, 1 << mixlm.SKETCH), np.int64)
+        r = np.random.default_rng(1)
+        rows = [" ".join(map("".join, r.choice(list("abcdefghij"), (1000, 9)))) for _ in range(n)]
+        pairs = set()
+        for t in texts(pa.array(rows), 1 << 16):
+            mixlm.sketch(seen, c := mixlm.Coded(t))
+            pairs |= set(zip(c.word.tolist(), c.now.tolist()))
+        return seen, len(pairs)
+
+    small, many = registers(2), registers(150)
+    assert all(mixlm.distinct_of(seen[1]) == pytest.approx(n, rel=0.06) for seen, n in (small, many))
+    assert mixlm.bits_for(small[0])[1] == mixlm.LEAST_BITS < mixlm.bits_for(many[0])[1]
+    assert 2 ** mixlm.bits_for(many[0])[1] >= 0.9 * mixlm.SPREAD * many[1]
+
+
 def test_lm_empty(empty):
     assert mixlm.score(load(empty)).count() == 0
 

@@ -13,7 +13,8 @@ gate (how often the word predictor has seen the place), and refines the result b
 adaptive map from the mixed
 estimate to observed frequencies. Weights and map follow the document: after each block
 of it they take a step against the coding error. Every document begins with the weights
-that documents of one training fold, kept out of the counts, end with on average.
+that documents of one training fold, kept out of the counts until then, end with on
+average; for scoring the counts have this fold too.
 """
 
 from __future__ import annotations
@@ -323,8 +324,14 @@ def score(docs: DataFrame) -> DataFrame:
     for key, n in reversed(common):  # where two want a place, the more frequent has it
         hot_key[(key % 2**64) >> 44], hot_n[(key % 2**64) >> 44] = key % 2**64, n
 
-    model = Model(trees := Trees(pairs.reshape(256, 256)), tables(train.where(F.col("fold") != WEIGHTS), trees, bits_for(seen.reshape(2, -1))))
-    model.first = first_weights(train.where(F.col("fold") == WEIGHTS), model).astype(np.float32)
+    trees, bits = Trees(pairs.reshape(256, 256)), bits_for(seen.reshape(2, -1))
+    apart = train.where(F.col("fold") == WEIGHTS)
+    counts = tables(train.where(F.col("fold") != WEIGHTS), trees, bits)
+    first = first_weights(apart, Model(trees, counts)).astype(np.float32)
+    for count, more in zip(counts, tables(apart, trees, bits)):
+        count += more
+    model = Model(trees, counts)
+    model.first = first
     sent = docs.sparkSession.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1)))
 
     def run(batches):

@@ -135,6 +135,19 @@ def test_lm_decisions_are_a_code():
     assert all(abs(sum(2.0 ** -n for n in row) - 1) < 1e-9 for row in tree.length.tolist())  # complete prefix codes
 
 
+def test_lm_counts_have_every_training_fold(spark):
+    ids = {f: [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == f] for f in range(7)}
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(300))
+
+    def cost(fold):
+        rows = [(ids[f][k], ROWS[5 * f + k][1]) for f in (0, 1, 3, 4, 5) for k in range(3)] + [(ids[fold][9], text), (ids[2][0], text)]
+        got = mixlm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+        return got[0].bits_per_byte
+
+    assert cost(mixlm.WEIGHTS) < 1.1 * cost(0)
+
+
 def test_lm_tables_grow_with_the_contexts():
     def registers(n):
         seen = np.zeros((2, 1 << mixlm.SKETCH), np.int64)

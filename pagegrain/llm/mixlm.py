@@ -188,8 +188,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, pair boolean, n long").groupBy("key", "pair").agg(F.sum("n").alias("n"))
 
 
-def tables(docs: DataFrame, trees: Trees, bits: list[int]) -> list[np.ndarray]:
-    """Counts (2**bits, 2) of each of the two hashed predictors over ``docs``."""
+def tables(docs: DataFrame, trees: Trees, bits: list[int], out: np.ndarray | None = None) -> np.ndarray:
+    """Counts of the two hashed predictors over ``docs``, one after the other, added to ``out``; see ``parts_of``."""
     base = np.cumsum([0, *(2 << b for b in bits)])
     sent = docs.sparkSession.sparkContext.broadcast(trees)
 
@@ -212,11 +212,21 @@ def tables(docs: DataFrame, trees: Trees, bits: list[int]) -> list[np.ndarray]:
     # a task sends at most base[-1] rows, so let it count a few input splits
     parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
     docs = docs.select("text").coalesce(max(1, min(parts, max(2 * cores, parts // 8))))
-    rows = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(base[-1], np.int64)  # at most base[-1] rows
-    for batch in rows.to_batches():
-        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
-    return [out[a:b].reshape(-1, 2) for a, b in zip(base, base[1:])]
+    rows = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], ["slot", "n"])
+
+    out = np.zeros(base[-1], np.int64) if out is None else out
+    for slot, n in rows.mapInArrow(packed, "slot binary, n binary").toLocalIterator():  # one partition at a time
+        out[np.frombuffer(slot, np.int64)] += np.frombuffer(n, np.int64)
+    return out
+
+
+def parts_of(counts: np.ndarray, bits: list[int]) -> list[np.ndarray]:
+    """The counts (2**bits, 2) of each predictor."""
+    return [x.reshape(-1, 2) for x in np.split(counts, [2 << bits[0]])]
 
 
 class Model:
@@ -327,10 +337,8 @@ def score(docs: DataFrame) -> DataFrame:
     trees, bits = Trees(pairs.reshape(256, 256)), bits_for(seen.reshape(2, -1))
     apart = train.where(F.col("fold") == WEIGHTS)
     counts = tables(train.where(F.col("fold") != WEIGHTS), trees, bits)
-    first = first_weights(apart, Model(trees, counts)).astype(np.float32)
-    for count, more in zip(counts, tables(apart, trees, bits)):
-        count += more
-    model = Model(trees, counts)
+    first = first_weights(apart, Model(trees, parts_of(counts, bits))).astype(np.float32)
+    model = Model(trees, parts_of(tables(apart, trees, bits, counts), bits))
     model.first = first
     sent = docs.sparkSession.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1)))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("policy", "blocks", "calls", "judges", "splits", "match", "translate", "shapes")
+MODULES = ("policy", "blocks", "calls", "judges", "splits", "match", "translate", "shapes", "lines", "cuts", "measure", "suppress")
 
 
 def load_all() -> None:

@@ -33,6 +33,22 @@ def op(name: str):
     return put
 
 
+FRAMES: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame], Callable[[Spark], str] | None]] = {}
+
+
+def frame(name: str, *views: str, check: Callable[[Spark], str] | None = None):
+    """An operator over DataFrames: a function of the named views and of parameters by keyword.
+
+    ``check`` gives SQL over the same views for DuckDB, written apart from the function.
+    """
+
+    def put(f):
+        FRAMES[name] = (views, f, check)
+        return f
+
+    return put
+
+
 def _needs(sql: str, names) -> list[str]:
     found = set(re.findall(r"[a-z_][a-z_0-9]*", sql))
     return [n for n in names if n in found]
@@ -53,9 +69,12 @@ def _ordered(sql: str, d: Spark, given: set[str]) -> list[str]:
 
 
 def text(name: str, d: Spark, given: dict[str, str] | None = None, tables: dict[str, str] | None = None) -> str:
-    """The whole statement: given views and base tables by the names they have, other views defined."""
+    """The whole statement of an operator: given views and base tables by the names they have, other views defined."""
+    return bound(OPS[name](d), d, given, tables)
+
+
+def bound(sql: str, d: Spark, given: dict[str, str] | None = None, tables: dict[str, str] | None = None) -> str:
     given, tables = given or {}, tables or {}
-    sql = OPS[name](d)
     if sql.lstrip().startswith("with "):
         sql = f"select * from ({sql}) q"
     views = _ordered(sql, d, set(given))
@@ -66,19 +85,40 @@ def text(name: str, d: Spark, given: dict[str, str] | None = None, tables: dict[
     return f"with {', '.join(parts)} {sql}"
 
 
-def run(spark: SparkSession, name: str, sf_dir: str | None = None, **views: DataFrame) -> DataFrame:
-    """Run an operator over the caller's views, or over those bound to the tables in ``sf_dir``."""
+def run(spark: SparkSession, name: str, sf_dir: str | None = None, **given) -> DataFrame:
+    """Run an operator over the caller's views, or over those bound to the tables in ``sf_dir``.
+
+    Operators over DataFrames also take their parameters here.
+    """
+    if name in FRAMES:
+        views, f, _ = FRAMES[name]
+        frames = [given.pop(v) if v in given else view_of(spark, v, sf_dir) for v in views]
+        return f(*frames, **given)
+    return _sql(spark, OPS[name](SPARK), sf_dir, given)
+
+
+def view_of(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    """A view, or a base table, bound to the tables in ``sf_dir``."""
+    if name in TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _sql(spark, f"select * from {name}", sf_dir, {})
+
+
+def _sql(spark: SparkSession, sql: str, sf_dir: str | None, views: dict[str, DataFrame]) -> DataFrame:
     tag = uuid.uuid4().hex[:8]
     given = {v: f"{v}_{tag}" for v in views}
     for v, df in views.items():
         df.createOrReplaceTempView(given[v])
-    sql = OPS[name](SPARK)
     every = " ".join([sql, *(VIEWS[v](SPARK) for v in _ordered(sql, SPARK, set(views)))])
     tables = {t: f"{t}_{tag}" for t in _needs(every, TABLES) if t not in views} if sf_dir else {}
     for t, at in tables.items():
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(at)
-    return spark.sql(text(name, SPARK, given, tables))
+    return spark.sql(bound(sql, SPARK, given, tables))
 
 
-def oracle(name: str) -> str:
+def oracle(name: str) -> str | None:
+    """The SQL for DuckDB; none for an operator over DataFrames that has no check."""
+    if name in FRAMES:
+        check = FRAMES[name][2]
+        return bound(check(DUCK), DUCK) if check else None
     return text(name, DUCK)

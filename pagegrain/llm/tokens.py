@@ -1,8 +1,8 @@
 """Token ids of whole texts with a public byte-level BPE.
 
 The vocabulary's pre-tokeniser never lets a token run from a printing character into
-the space after it, so a text without white space on both sides of a space may be cut
-before each space. The parts repeat a lot; the ids that the tokenizers library gives them
+the space after it, so a text without white space on both sides of a space, and without a
+literal of an added token, may be cut before each space. The parts repeat a lot; the ids that the tokenizers library gives them
 are remembered per worker, up to a fixed number of parts. Any other text goes through the
 library whole.
 """
@@ -30,7 +30,8 @@ def vocabulary(name: str = DEFAULT) -> str:
 class Encoder:
     def __init__(self, path: str, remembered: int = 1_000_000):
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: literals that the library turns into ids of their own, wherever they stand
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.most = remembered
@@ -93,7 +94,7 @@ class Encoder:
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian integers of ``self.kind``."""
-        cut = [None if not t or _TRIPLE.search(t) else t.split(" ") for t in texts]
+        cut = [None if not t or _TRIPLE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
         parts = set().union(*(c[1:] for c in cut if c))
         if len(self.parts) + len(self.bare) > self.most:  # the parts in use stay
             self.parts, self.bare = {p: self.parts[p] for p in parts & self.parts.keys()}, {}
@@ -109,6 +110,7 @@ class Encoder:
         last = b"" if end is None else np.array([end], self.kind).tobytes()
         return [np.frombuffer(raw + last, self.kind) for raw in self.many(texts)]
 
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -35,6 +35,17 @@ def load(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the caller's whole row as one struct, so that no working column meets its names."""
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    return docs.select(F.col("doc_id"), F.col("text"), row.alias("row"))
+
+
+def unpacked(d: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The caller's columns back, with another text if given."""
+    return d.select(*((text if c == "text" and text is not None else F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
     with np.errstate(over="ignore"):

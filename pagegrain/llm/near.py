@@ -8,12 +8,10 @@ each coordinate. Two documents agree on a coordinate with the probability of the
 document are ever made, about ``K ln K`` of them and not ``K`` for each shingle.
 
 Equal sets are one node. Nodes that agree on a whole band meet in its bucket; there each
-is compared with the bucket's first node only, and the links give classes. Whatever
-bucket then still holds more than one class has the rest of its pairs between different
-classes compared, so no class is missed and a large group of copies costs few pairs. Left
-out are nodes that provably have no link: a cell that only one of these nodes has cannot
-be shared, and a node with too many of them cannot be similar enough to any node of the
-bucket's sizes.
+is compared with the bucket's first node only, and the links give classes. The nodes of
+whatever bucket then still holds more than one class meet once more, across classes, on their
+rarest cells only (``rare_pairs``, an exact filter), so no class is missed and a large group of
+copies costs few pairs.
 
 Joins on ids and pairs, which grow with the documents, are never broadcast.
 """
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import Texts, load, mix, texts, windows, words
+from pagegrain.llm.common import Texts, load, mix, packed, texts, unpacked, windows, words
 from pagegrain.sources.scratch import Stored
 
 SHINGLE = 5
@@ -201,20 +199,39 @@ def cells_of(docs: DataFrame, weight: str = "set") -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, cells binary")
 
 
-def private_cells(cells: DataFrame) -> DataFrame:
-    """``node``, its number of cells and how many of them no other row of ``cells`` has."""
+def rare_pairs(cells: DataFrame, root: DataFrame, least: float) -> DataFrame:
+    """Every pair (a, b) of different classes that can be similar enough, by an exact prefix filter.
+
+    ``cells``: doc_id and cells of the rows to compare; ``root``: node and root. Cells are ordered by
+    how many rows have them, the rarest first. Two rows of n and m cells with a similarity of t share at
+    least t * max(n, m) cells, so the first n - ceil(t n) + 1 cells of one and the like of the other have a cell in common.
+    Cells that a whole group has come last and are keys of none that has enough others; those that only one
+    row has are counted and need no key. Where two rows meet, what can still follow behind their places must suffice.
+    """
 
     def run(batches):
         for batch in batches:
-            parts = [np.frombuffer(c.as_buffer(), np.int32) for c in batch.column(1)]
-            node = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
-            if len(node):
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(parts))], ["node", "cell"])
-
-    rows = cells.select("doc_id", "cells").mapInArrow(run, "node long, cell int")
-    alone = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    size = cells.select(F.col("doc_id").alias("node"), (F.octet_length("cells") / 4).alias("size"))
-    return size.join(alone.groupBy("node").agg(F.count(F.lit(1)).alias("private")), "node", "left").fillna(0, ["private"])
+            for i in range(batch.num_rows):
+                part = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint32).astype(np.int64)
+                if len(part):
+                    new = np.append(True, part[1:] != part[:-1])
+                    nth = np.arange(len(part)) - np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
+                    same = lambda j: pa.array(np.full(len(part), batch.column(j)[i].as_py()))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([same(0), same(1), same(3), pa.array((part << 24) + nth)], ["id", "node", "n", "cell"])
+
+    d = cells.select(F.xxhash64("doc_id", "cells").alias("id"), F.col("doc_id").alias("node"), "cells", (F.octet_length("cells") / 4).cast("long").alias("n"))
+    rows = Stored(d.mapInArrow(run, "id long, node long, n long, cell long"), "near-cell-rows").df
+    common = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    shared = rows.join(common.hint("merge"), "cell")
+    alone = shared.groupBy("id").agg(F.count(F.lit(1)).alias("shared"))
+    place = F.row_number().over(W.partitionBy("id").orderBy("f", "cell")) + F.col("n") - F.col("shared")
+    keys = shared.join(alone.hint("merge"), "id").withColumn("i", place).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    keys = Stored(keys.select("node", "n", "cell", "i").join(root.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "near-prefix").df
+    left, right = (keys.select("cell", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "i", "root"))) for s in "ab")
+    n, m = F.col("n_a"), F.col("n_b")
+    enough = 1 + F.least(n - F.col("i_a"), m - F.col("i_b")) >= least / (1 + least) * (n + m) - 1e-6
+    near = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & (F.least(n, m) >= least * F.greatest(n, m) - 1e-6)
+    return left.join(right, "cell").where(near & enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataFrame:
@@ -236,26 +253,18 @@ def classes(docs: DataFrame, least: float = LEAST, weight: str = "set") -> DataF
     met = keys.df.join(hubs.hint("merge"), "key").where("node > a")
     pairs = Stored(met.select("a", F.col("node").alias("b")).distinct(), "near-pairs")
     ends = pairs.df.select(F.col("a").alias("doc_id")).union(pairs.df.select("b")).distinct()
-    cells = Stored(cells_of(docs.join(ends.hint("merge"), "doc_id", "left_semi"), weight).dropDuplicates(["doc_id"]), "near-cells")
+    cells = Stored(cells_of(docs.join(ends.hint("merge"), "doc_id", "left_semi"), weight).distinct(), "near-cells")  # an id may have several texts
     links = Stored(checked(pairs.df, cells.df, least), "near-links")
     # texts of one id
     same = full.select("doc_id", "fp1", "fp2").join(node.df, ["fp1", "fp2"]).where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     again = same.join(node.df.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
     root = components(links.df.select("a", "b").union(again), "near-stars")
 
-    # buckets that hold several classes: every pair across classes not yet compared
+    # nodes of buckets that hold several classes: every pair across classes that may be a link and is not yet compared
     of = Stored(keys.df.join(root, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-of")
     mixed = of.df.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi and n > 2").select("key")
-    some = of.df.join(mixed, "key")
-    inside = some.select(F.col("node").alias("doc_id")).distinct()
-    facts = Stored(private_cells(cells.df.join(inside.hint("merge"), "doc_id", "left_semi")), "near-facts")
-    some = some.join(facts.df.hint("merge"), "node")
-    smallest = some.groupBy("key").agg(F.min("size").alias("smallest"))
-    # a link shares at least least / (1 + least) of both sizes
-    able = F.col("size") - F.col("private") >= least / (1 + least) * (F.col("size") + F.col("smallest")) - 1e-6
-    some = Stored(some.join(smallest, "key").where(able).select("key", "node", "root"), "near-able").df
-    other = some.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = some.select("key", F.col("node").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
+    inside = of.df.join(mixed, "key").select(F.col("node").alias("doc_id")).distinct()
+    rest = rare_pairs(cells.df.join(inside.hint("merge"), "doc_id", "left_semi"), root, least)
     rest = Stored(rest.join(pairs.df.hint("merge"), ["a", "b"], "left_anti"), "near-rest")
     more = Stored(checked(rest.df, cells.df, least), "near-more")
     if more.df.limit(1).count():
@@ -272,9 +281,10 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     least text. Rows without an id all stay.
     """
     keep = classes(load(docs), least).where("class_id = doc_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi")
+    rows = packed(docs)
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    kept = rows.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1")
+    return unpacked(kept.select("doc_id", "text", "row").union(rows.where("doc_id is null")), docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

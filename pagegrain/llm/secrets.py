@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import load
+from pagegrain.llm.common import load, packed, unpacked
 
 SCOPE = 200
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -123,7 +123,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Overlapping spans are cut out once.
     """
     cut = lambda t, a, b: F.substring(t, a + 1, b - a)
-    d = scan(docs.withColumn("_was", F.col("text")))
+    d = scan(packed(docs))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -133,7 +133,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(F.array_sort("all"), start, step, lambda a: F.concat(a["out"], cut(text, a["at"], F.length(text))))
-    return d.select(*(F.when(F.size("all") > 0, clean).otherwise(F.col("_was")).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return unpacked(d, docs.columns, F.when(F.size("all") > 0, clean).otherwise(F.col("row").getField("text")))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -344,7 +344,6 @@ def expected_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -534,3 +533,52 @@ def test_pipeline_stages(spark):
 
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+
+
+def test_stages_leave_every_column_of_the_caller_alone(spark):
+    """Names that stages work with inside, as columns of the caller with values of their own."""
+    text = "user = bob42 password = hunter2hunter2 and then some more plain words of the text"
+    docs = spark.createDataFrame([(1, text), (2, "another text of plain words that nobody has to hide at all"), (3, None)], "doc_id long, text string")
+    names = ("key", "base", "weak", "all", "linked", "_was", "s0", "s5", "row", "nth", "_nth", "node", "root", "a.b")
+    d = docs.select("*", *(F.concat(F.lit(name), F.col("doc_id").cast("string")).alias(name) for name in names))
+    for out in (secrets.redact(d), near.one_of_each(d)):
+        assert out.columns == d.columns
+        assert sorted((r[0], *r[2:]) for r in out.collect()) == [(k, *(f"{name}{k}" for name in names)) for k in (1, 2, 3)]
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert "hunter2" not in clean[1] and clean[3] is None
+
+
+def test_added_tokens_have_the_ids_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary()
+    plain = Tokenizer.from_file(path)
+    some = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext |> q"]
+    for t, ids in zip(some, tokens.Encoder(path).ids(some)):
+        assert ids.tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
+    assert 50256 in tokens.Encoder(path).ids(some)[0]
+
+
+def test_links_across_classes_by_rare_cells(spark):
+    """Against all pairs: families whose members differ by some words, and a passage that all have."""
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for f in range(6):
+        own = [f"f{f}w{i}" for i in range(rng.choice((20, 60)))]
+        for k in range(8):
+            w = common + own
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cells = near.cells_of(docs)
+    root = spark.createDataFrame([], "node long, root long")
+    got = {(r.a, r.b) for r in near.rare_pairs(cells, root, 0.8).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want <= got and len(want) > 20
+    assert len(got) < len(rows) * (len(rows) - 1) / 2

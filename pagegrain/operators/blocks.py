@@ -53,9 +53,10 @@ def c6(d):
 
 @view
 def fonts(d):
-    q = lambda p: f"max(case when r = cast(floor(n * {p}) as bigint) + 1 then font_h end)"
-    return f"""select section_id, {q(0.75)} as big, {q(0.25)} as small from (select section_id, font_h, row_number() over (partition by section_id order by font_h, block_id) as r,
-        count(*) over (partition by section_id) as n from blocks) q group by section_id"""
+    """Quartiles of the heights of a section's regions, over one row for each height."""
+    q = lambda p: f"min(case when upto > cast(floor(n * {p}) as bigint) then h end)"
+    return f"""select section_id, {q(0.75)} as big, {q(0.25)} as small from (select section_id, h, sum(c) over (partition by section_id order by h) as upto, sum(c) over (partition by section_id) as n
+        from (select section_id, y1 - y0 as h, count(*) as c from regions group by section_id, y1 - y0) p) q group by section_id"""
 
 
 @op("C7_font_stats")
@@ -67,7 +68,7 @@ def c7(d):
 def roles(d):
     price, caution = "[0-9]+([.,][0-9]+)? ?(eur|usd|[$])", "^(note|caution)|[#*]{3}"
     return f"""select b.section_id, b.block_id, case when {d.matches('lower(b.text)', price)} and length(b.text) <= 40 then 'price' when {d.matches('lower(b.text)', caution)} then 'caution'
-        when b.font_h >= f.big and b.font_h > f.small and b.n_lines <= 2 then 'title' when b.font_h <= f.small and length(b.text) <= 25 then 'caption' else 'body' end as role
+        when b.font_h >= f.big and b.n_lines <= 2 then 'title' when b.font_h <= f.small and length(b.text) <= 25 then 'caption' else 'body' end as role
         from blocks b join fonts f on b.section_id = f.section_id"""
 
 
@@ -138,7 +139,7 @@ def c16(d):
 @view
 def merge_grades(d):
     rate = "(split_err + 2 * over_err) / greatest(1, n_blocks)"
-    return f"select unit_id, variant, grade, case when {rate} <= 0.10 and over_err = 0 then 'A' when {rate} <= 0.25 then 'B' else 'C' end as auto_grade from grades"
+    return f"select unit_id, variant, grade, case when n_blocks < 10 and split_err <= 1 and over_err = 0 then 'A' when {rate} <= 0.10 and over_err = 0 then 'A' when {rate} <= 0.25 then 'B' else 'C' end as auto_grade from grades"
 
 
 @op("C17_grade_merge")
@@ -160,7 +161,8 @@ def c19(d):
 
 @op("C20_no_text_units")
 def c20(d):
-    return "select s.section_id from sections s left join (select distinct section_id from blocks where trim(text) <> '') t on s.section_id = t.section_id where t.section_id is null"
+    """Sections in which the second variant has no text."""
+    return "select s.section_id from sections s left join (select distinct section_id from blocks_b where trim(text) <> '') t on s.section_id = t.section_id where t.section_id is null"
 
 
 @op("C21_role_listing")

@@ -21,14 +21,16 @@ def e1(d):
 
 @op("E2_match_exact")
 def e2(d):
-    return f"select k.p_partkey, b.brand from keyed k join (select distinct p_brand as brand, {d.replace_all('lower(p_brand)', '[^a-z0-9]+', '')} as bk from part where p_partkey % 3 <> 0) b on k.brand_key = b.bk"
+    return f"select k.p_partkey, b.brand from keyed k join (select distinct p_brand as brand, {d.replace_all('lower(p_brand)', '[^a-z0-9]+', '')} as bk from part) b on k.brand_key = b.bk"
 
 
 @op("E4_match_contains")
 def e4(d):
-    """Tokens of part names that occur in benchmark items, by an equi join on words."""
-    return f"""select distinct p.p_partkey, w.item_id from (select p_partkey, piece from part {d.split('lower(p_name)', ' ', 'piece', 'pos')}) p
-        join (select item_id, piece from benchmark {d.split('lower(text)', ' ', 'piece', 'pos')}) w on p.piece = w.piece"""
+    """Keys of three words (how an item begins) that blocks contain, by an equi join on runs of three words."""
+    run = lambda frm, keys: f"""select {keys}, pos, concat(w, ' ', lead(w) over (partition by {keys} order by pos), ' ', lead(w, 2) over (partition by {keys} order by pos)) as run
+        from (select {keys}, pos, w from {frm} {d.split('lower(text)', '[ ]+', 'w', 'pos')}) x"""
+    return f"""select distinct k.item_id, b.section_id, b.block_id from (select item_id, run from ({run('benchmark', 'item_id')}) i where pos = 0 and run is not null) k
+        join ({run('blocks', 'section_id, block_id')}) b on k.run = b.run"""
 
 
 @view
@@ -87,18 +89,18 @@ def e12(d):
         join matched m on m.section_id = x.section_id and m.region_id = x.region_id"""
 
 
-def by_threshold(cols, frm, group=""):
-    """One conditional aggregate a threshold: the rows are read once."""
+def by_threshold(d, cols, frm, group=""):
+    """The rows are read once and counted under each threshold."""
     keys = f"{group}, " if group else ""
-    tail = f" group by {group}" if group else ""
-    return " union all ".join(f"select {keys}{t}e0 as threshold, {cols.format(t=f'{t}e0')} from {frm}{tail}" for t in (0.1, 0.3, 0.5, 0.7, 0.9))
+    t = "case k " + " ".join(f"when {k} then {x}e0" for k, x in enumerate((0.1, 0.3, 0.5, 0.7, 0.9))) + " end"
+    return f"select {keys}threshold, {cols.format(t='threshold')} from (select *, {t} as threshold from {frm} {d.series('0', '4', 'k')}) q group by {keys}threshold"
 
 
 @op("E13_threshold_sweep")
 def e13(d):
     cols = """count(case when is_true and score >= {t} then 1 end) as found, count(case when is_true and score < {t} then 1 end) as missed, count(case when not is_true and score >= {t} then 1 end) as false_,
         count(case when not is_true and score >= {t} and h < 20 then 1 end) as false_low"""
-    return by_threshold(cols, "dets", "logo")
+    return by_threshold(d, cols, "dets", "logo")
 
 
 @op("E14_near_misses")
@@ -130,7 +132,9 @@ def e19(d):
 
 @op("E20_dup_pairs")
 def e20(d):
-    return f"""select a.section_id, a.region_id as a, b.region_id as b from regions a join regions_b b on a.section_id = b.section_id and lower(a.text) = lower(b.text) and a.region_id <= b.region_id where {iou('a', 'b')} > 0.5"""
+    """Regions of one list (both readings in one) with the same text whose boxes overlap by more than half."""
+    both = "(select section_id, region_id * 2 as id, lower(trim(text)) as k, x0, y0, x1, y1 from regions union all select section_id, region_id * 2 + 1 as id, lower(trim(text)) as k, x0, y0, x1, y1 from regions_b)"
+    return f"select a.section_id, a.id as a, b.id as b from {both} a join {both} b on a.section_id = b.section_id and a.k = b.k and a.id < b.id where {iou('a', 'b')} > 0.5"
 
 
 @op("E21_count_delta")
@@ -182,17 +186,23 @@ def f2(d):
 
 @op("F3_coverage_pct")
 def f3(d):
-    """Share of a section under boxes grown by max(3, 0.15 h): union of x spans for each of the rows
-    where the set of boxes changes, so a box counts by spans of rows and not by rows."""
-    grown = f"select section_id, region_id, x0 - g as x0, x1 + g as x1, y0 - g as y0, y1 + g as y1 from (select *, cast(greatest(3, {d.bround('0.15 * (y1 - y0)')}) as bigint) as g from picked) q"
-    return f"""with grown as ({grown}), rows_ as (select section_id, y, x0, x1 from grown {d.series('y0', 'y1 - 1', 'y')}),
-        reach as (select *, max(x1) over (partition by section_id, y order by x0, x1 rows between unbounded preceding and 1 preceding) as far from rows_)
-        select section_id, cast(sum(greatest(0, x1 - greatest(x0, coalesce(far, x0)))) as bigint) as covered from reach group by section_id"""
+    """Per cent of a section under boxes grown by max(3, 0.15 h): rows are cut only where a box begins or
+    ends, and each such stretch of rows counts the union of its boxes' x spans. Stretches and boxes meet in bands."""
+    grow = f"cast(greatest(3, {d.bround('0.15 * (y1 - y0)')}) as bigint)"
+    band = lambda to: d.series(d.floordiv("y0", "64"), d.floordiv(to, "64"), "band")
+    return f"""with size_ as (select section_id, max(x1) as w, max(y1) as h from regions group by section_id),
+        boxes as (select p.section_id, greatest(0, p.x0 - p.g) as x0, least(z.w, p.x1 + p.g) as x1, greatest(0, p.y0 - p.g) as y0, least(z.h, p.y1 + p.g) as y1 from (select *, {grow} as g from picked) p join size_ z on p.section_id = z.section_id),
+        steps as (select section_id, y as s0, lead(y) over (partition by section_id order by y) as s1 from (select section_id, y0 as y from boxes union select section_id, y1 as y from boxes) e),
+        spans as (select s.section_id, s.s0, s.s1, b.x0, b.x1, max(b.x1) over (partition by s.section_id, s.s0 order by b.x0, b.x1 rows between unbounded preceding and 1 preceding) as far
+        from (select section_id, s0, s1, {d.floordiv('s0', '64')} as band from steps where s1 is not null) s join (select section_id, x0, x1, y0, y1, band from boxes {band('y1')}) b on s.section_id = b.section_id and s.band = b.band where b.y0 <= s.s0 and b.y1 >= s.s1)
+        select q.section_id, {d.bround('100e0 * area / greatest(1, w * h)', 4)} as covered_pct from (select section_id, sum((s1 - s0) * greatest(0, x1 - greatest(x0, coalesce(far, x0)))) as area from spans group by section_id) q join size_ z on q.section_id = z.section_id"""
 
 
 @view
 def residues(d):
-    return "select distinct p.section_id, p.region_id from picked p join pairs_ab q on p.section_id = q.section_id and p.region_id = q.a where q.iou > 0.3 and q.score_b >= 0.5"
+    """Picked regions that hold the middle of a sure box of the second reading."""
+    return """select distinct p.section_id, p.region_id from picked p join pairs_ab q on p.section_id = q.section_id and p.region_id = q.a join regions_b r on r.section_id = q.section_id and r.region_id = q.b
+        where r.score >= 0.5 and (r.x0 + r.x1) / 2e0 between p.x0 and p.x1 and (r.y0 + r.y1) / 2e0 between p.y0 and p.y1"""
 
 
 @op("F4_residue")
@@ -235,4 +245,4 @@ def f11(d):
 
 @op("F12_threshold_catch")
 def f12(d):
-    return by_threshold("count(case when not is_true and score < {t} then 1 end) as caught, count(case when is_true and score < {t} then 1 end) as good_hit", "dets")
+    return by_threshold(d, "count(case when not is_true and score < {t} then 1 end) as caught, count(case when is_true and score < {t} then 1 end) as good_hit", "dets")

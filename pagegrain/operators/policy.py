@@ -9,7 +9,7 @@ KEYWORDS = (
     ("review", "said", "idiot|scum"), ("review", "was", "disgusting|pathetic"),
     ("contact", "mail", "@[a-z0-9]+[.]"), ("contact", "number", "[0-9]{3}"),
 )
-BEFORE, AFTER = "before|tion", "after|ence"
+BEFORE, AFTER = "before|tion|keit", "after|ering|mente"
 POLICIES = (("all", "promise"), ("all", "origin"), ("all", "review"), ("all", "contact"), ("all", "cooccur"), ("review_ban", "review"))
 
 
@@ -20,12 +20,12 @@ def l1(d):
 
 @view
 def tags(d):
-    """Patterns are literals of one projection: no join with the dictionary."""
+    """Patterns are literals of one projection: blocks are read once, and there is no join with the dictionary."""
     plain = d.replace_all("lower(text)", "[ \\t\\r\\n]+", "")
-    cases = " union all ".join(
-        f"select section_id, block_id, '{item}' as item, '{label}' as label from plain where {d.matches('t', pattern)}" for item, label, pattern in KEYWORDS
-    )
-    return f"with plain as (select section_id, block_id, {plain} as t from blocks) {cases}"
+    hits = d.array(*(f"case when {d.matches('t', pattern)} then {k} end" for k, (_, _, pattern) in enumerate(KEYWORDS)))
+    name = lambda of: "case k " + " ".join(f"when {k} then '{row[of]}'" for k, row in enumerate(KEYWORDS)) + " end"
+    return f"""select section_id, block_id, {name(0)} as item, {name(1)} as label from
+        (select section_id, block_id, {hits} as hits from (select section_id, block_id, {plain} as t from blocks) p) q {d.array_rows('hits', 'k', 'x')} where k is not null"""
 
 
 @op("L2_tag_items")

@@ -55,9 +55,9 @@ def g4(d):
 def aligns(d):
     """The axis with the least spread of a block's boxes, if clear enough."""
     spread = lambda e: f"(max({e}) - min({e})) / cast(greatest(1, max(x1) - min(x0)) as double)"
-    return f"""select section_id, block_id, case when n = 1 then 'single' when l <= 0.12 and c <= 0.12 and r <= 0.12 then 'any' when least(l, c, r) > 0.12 then 'unknown'
+    return f"""select section_id, block_id, case when n = 1 or w <= 0 then 'single' when l <= 0.12 and c <= 0.12 and r <= 0.12 then 'any' when least(l, c, r) > 0.12 then 'unknown'
         when l = least(l, c, r) and least(c, r) - l >= 0.03 then 'left' when c = least(l, c, r) and least(l, r) - c >= 0.03 then 'center' when r = least(l, c, r) and least(l, c) - r >= 0.03 then 'right' else 'unknown' end as align
-        from (select section_id, {d.floordiv('line_no', '3')} as block_id, count(*) as n, {spread('x0')} as l, {spread('(x0 + x1) / 2e0')} as c, {spread('x1')} as r from regions group by section_id, {d.floordiv('line_no', '3')}) q"""
+        from (select section_id, {d.floordiv('line_no', '3')} as block_id, count(*) as n, max(x1) - min(x0) as w, {spread('x0')} as l, {spread('(x0 + x1) / 2e0')} as c, {spread('x1')} as r from regions group by section_id, {d.floordiv('line_no', '3')}) q"""
 
 
 @op("G6_block_align")
@@ -132,8 +132,9 @@ def k7(d):
 
 @op("K8_absorb_curve")
 def k8(d):
-    """One conditional count a threshold in a single read for each target."""
-    return " union all ".join(f"select target, {t}e0 as scale, {d.bround(f'count(case when need_scale >= {t}e0 then 1 end) / cast(count(*) as double)', 6)} as absorbed from lengths group by target" for t in (1.0, 0.9, 0.8, 0.7, 0.5))
+    """The rows are read once and counted under each scale."""
+    t = "case k " + " ".join(f"when {k} then {x}e0" for k, x in enumerate((1.0, 0.9, 0.8, 0.7, 0.5))) + " end"
+    return f"select target, scale, {d.bround('count(case when need_scale >= scale then 1 end) / cast(count(*) as double)', 6)} as absorbed from (select target, need_scale, {t} as scale from lengths {d.series('0', '4', 'k')}) q group by target, scale"
 
 
 @op("K9_expansion_stats")
@@ -200,10 +201,15 @@ def m6(d):
 
 @view
 def covers(d):
-    """Part of each region under boxes of the second reading, at most the whole."""
-    return """select a.section_id, a.region_id, least(1e0, coalesce(sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))), 0) / cast(greatest(1, (a.x1 - a.x0) * (a.y1 - a.y0)) as double)) as cover
-        from regions a left join (select p.section_id, p.a, r.x0, r.x1, r.y0, r.y1 from pairs_ab p join regions_b r on p.section_id = r.section_id and p.b = r.region_id) b on a.section_id = b.section_id and a.region_id = b.a
-        group by a.section_id, a.region_id, a.x0, a.x1, a.y0, a.y1"""
+    """Part of each region under boxes of the second reading: their union, row stretch by row stretch."""
+    key = "section_id, region_id"
+    return f"""with parts as (select a.section_id, a.region_id, greatest(a.x0, b.x0) as x0, least(a.x1, b.x1) as x1, greatest(a.y0, b.y0) as y0, least(a.y1, b.y1) as y1 from pairs_ab p
+        join regions a on p.section_id = a.section_id and p.a = a.region_id join regions_b b on p.section_id = b.section_id and p.b = b.region_id),
+        steps as (select {key}, y as s0, lead(y) over (partition by {key} order by y) as s1 from (select {key}, y0 as y from parts union select {key}, y1 as y from parts) e),
+        spans as (select s.section_id, s.region_id, s.s0, s.s1, p.x0, p.x1, max(p.x1) over (partition by s.section_id, s.region_id, s.s0 order by p.x0, p.x1 rows between unbounded preceding and 1 preceding) as far
+        from steps s join parts p on s.section_id = p.section_id and s.region_id = p.region_id where s.s1 is not null and p.y0 <= s.s0 and p.y1 >= s.s1),
+        areas as (select {key}, sum((s1 - s0) * greatest(0, x1 - greatest(x0, coalesce(far, x0)))) as area from spans group by {key})
+        select r.section_id, r.region_id, coalesce(a.area, 0) / cast(greatest(1, (r.x1 - r.x0) * (r.y1 - r.y0)) as double) as cover from regions r left join areas a on r.section_id = a.section_id and r.region_id = a.region_id"""
 
 
 @op("M7_text_on_foreground")

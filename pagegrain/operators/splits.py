@@ -65,10 +65,10 @@ def b6(d):
 
 @op("B7_run_changes")
 def b7(d):
-    """Neighbouring runs of another colour: two edges where the gap is wide, else its middle."""
+    """Neighbouring runs whose colours lie 40 or more apart: two edges where the gap is wide, else its middle."""
     return f"""select page_id, case when ny0 - y1 >= 4 and e = 1 then ny0 when ny0 - y1 >= 4 then y1 else {d.floordiv('(y1 + ny0)', '2')} end as y from
         (select page_id, y1, ny0, e from (select page_id, k, y1, lead(k) over (partition by page_id order by y0) as nk, lead(y0) over (partition by page_id order by y0) as ny0 from color_runs) q
-        {d.series('0', '1', 'e')} where nk is not null and nk <> k) z where e = 0 or ny0 - y1 >= 4"""
+        {d.series('0', '1', 'e')} where nk is not null and 16 * abs(nk - k) >= 40) z where e = 0 or ny0 - y1 >= 4"""
 
 
 @op("B8_major_runs")

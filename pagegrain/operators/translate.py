@@ -6,6 +6,10 @@ from pagegrain.plans.registry import op, view
 RULES = ("('the', 'that', 'the', 'replace')", "('with', 'along', 'with', 'retain')", "('for', 'pro', 'for', 'either')")
 
 
+#: control characters, blanks and signs of ASCII
+ASCII_GAP = "[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
+
+
 @view
 def rules(d):
     return d.values("r", "banned, by_, literal, expected", RULES)[1:-1]
@@ -40,10 +44,14 @@ def h3(d):
 
 @op("H4_stem_tokens")
 def h4(d):
-    """Word endings: -ing, -ed, -es and -s go where three letters or more remain."""
-    return f"""select distinct w, case when w like '%ing' and length(w) > 5 then substr(w, 1, length(w) - 3) when w like '%ed' and length(w) > 4 then substr(w, 1, length(w) - 2)
-        when w like '%es' and length(w) > 4 then substr(w, 1, length(w) - 2) when w like '%s' and length(w) > 3 then substr(w, 1, length(w) - 1) else w end as stem
-        from (select doc_id, w from (select doc_id, {d.replace_all('lower(line)', '[^a-z0-9]+', ' ')} as l from lines) x {d.split('l', ' ', 'w', 'pos')}) q where w <> ''"""
+    """Word endings: -ing, -ed, -es and -s go where three letters or more remain, then a last e of four or more.
+
+    Only words of ASCII letters alone have endings; other letters stay part of their word.
+    """
+    return f"""select w, case when ends = 1 and length(cut) > 3 and cut like '%e' then substr(cut, 1, length(cut) - 1) else cut end as stem from
+        (select w, case when {d.matches('w', '^[a-z]+$')} then 1 else 0 end as ends, case when not {d.matches('w', '^[a-z]+$')} then w when w like '%ing' and length(w) > 5 then substr(w, 1, length(w) - 3)
+        when w like '%ed' and length(w) > 4 then substr(w, 1, length(w) - 2) when w like '%es' and length(w) > 4 then substr(w, 1, length(w) - 2) when w like '%s' and length(w) > 3 then substr(w, 1, length(w) - 1) else w end as cut
+        from (select distinct w from (select {d.replace_all('lower(line)', ASCII_GAP, ' ')} as l from lines) x {d.split('l', ' ', 'w', 'pos')}) q where w <> '') z"""
 
 
 @op("H5_has_phrase")

@@ -29,9 +29,11 @@ def pieces(d):
 
 @view
 def regions(d):
-    return """select doc_id as section_id, row_number() over (partition by doc_id order by line_no, pos) - 1 as region_id,
-        x0, y0, x0 + 8 * length(piece) as x1, y0 + h as y1, piece as text, (length(piece) % 100) / 100 as score, line_no
-        from (select *, cast(coalesce(sum(8 * length(piece) + 12) over (partition by doc_id, line_no order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as x0 from pieces) q"""
+    """Boxes of a line differ in height and top; a few overlap the next one, and some leave a wide gap behind."""
+    gap = "(case length(piece) % 7 when 3 then 90 when 5 then -10 else 12 end)"
+    return f"""select doc_id as section_id, row_number() over (partition by doc_id order by line_no, pos) - 1 as region_id,
+        x0, y0 + length(piece) % 3 * 2 as y0, x0 + 8 * length(piece) as x1, y0 + length(piece) % 3 * 2 + h + (case when length(piece) % 4 = 1 then 10 else 0 end) as y1, piece as text, (length(piece) % 100) / 100 as score, line_no
+        from (select *, cast(coalesce(sum(8 * length(piece) + {gap}) over (partition by doc_id, line_no order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as x0 from pieces) q"""
 
 
 @view
@@ -78,9 +80,9 @@ def segments(d):
 
 @view
 def pixels(d):
-    """Rows of grey values from embeddings: page = label, y = rank of vec_id."""
-    return f"""select page_id, y, cast(x as bigint) as x, cast(floor(128 + 100 * cast(v as double)) as bigint) as gray
-        from (select label as page_id, row_number() over (partition by label order by vec_id) - 1 as y, embedding from embeddings) e {d.array_rows('embedding', 'v', 'x')}"""
+    """Rows of grey values from embeddings, 200 vectors to a page by their id, in bands of five rows of one brightness."""
+    return f"""select page_id, y, cast(x as bigint) as x, cast(floor(80 + 100 * cast(v as double)) as bigint) + 45 * ({d.floordiv('y', '5')} % 3) as gray
+        from (select {d.floordiv('vec_id', '200')} as page_id, vec_id % 200 as y, embedding from embeddings) e {d.array_rows('embedding', 'v', 'x')}"""
 
 
 @view

@@ -47,6 +47,9 @@ class Spark:
     def hypot_deg(self, dy, dx):
         return f"degrees(atan2({dy}, {dx}))"
 
+    def array(self, *xs):
+        return f"array({', '.join(xs)})"
+
     def first_int(self, x):
         return f"cast({x} as bigint)"
 
@@ -91,6 +94,9 @@ class Duck(Spark):
     def array_rows(self, array, name, pos, table="s"):
         return f", (select unnest({array}) as {name}, unnest(range(len({array}))) as {pos}) as {table}"
 
+    def array(self, *xs):
+        return f"[{', '.join(xs)}]"
+
     def extract(self, text, pattern, group=0):
         return f"regexp_extract({text}, '{pattern}', {group})"
 

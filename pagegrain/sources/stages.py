@@ -84,14 +84,14 @@ def write_stage(df: DataFrame, root: str, stage: str, variant: str, unit: str =
 ANSWER = "doc_id string, parse_error string, translations array<struct<id:string,translation:string,note:string>>, _broken string"
 
 
-def read_translations(spark: SparkSession, root: str) -> DataFrame:
+def read_translations(spark: SparkSession, root: str, lines: bool = False) -> DataFrame:
     """label, file, id, translation, note, parse_failed of the JSON files of result folders under ``root``.
 
     A folder at depth 1 that has JSON files itself is a result and its name the label; else each folder at depth 2 that has some is
     one, labelled ``first/second``. Deeper files belong to none. A file is one object with ``translations``; one without
-    any, or that is no JSON, gives a row without id. A later file's answer to the same id stays beside the earlier one's.
+    any, or that is no JSON, gives a row without id. With ``lines`` a file has an object on each line. A later file's answer to the same id stays beside the earlier one's.
     """
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.format("text").option("wholetext", not lines).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("value", F.col("_metadata.file_path").alias("path"))
     plain = lambda x: F.regexp_replace(x, "^[a-z]+:/+", "/")
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     inner = F.substring(plain(F.url_decode(F.regexp_replace("path", r"\+", "%2B"))), len(base) + 2, 1 << 20)

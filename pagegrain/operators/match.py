@@ -1,6 +1,6 @@
 """Matching of brands and boxes, evaluation of detections, erase selection."""
 
-from pagegrain.plans.registry import op, view
+from pagegrain.plans.registry import kept, op, view
 
 
 def iou(a, b):
@@ -33,7 +33,7 @@ def e4(d):
         join ({run('blocks', 'section_id, block_id')}) b on k.run = b.run"""
 
 
-@view
+@kept
 def pairs_ab(d):
     """Regions of the two readings that overlap, with their IoU, met in bands of 64 rows."""
     band = lambda t: d.series(d.floordiv("y0", "64"), d.floordiv("y1", "64"), "band", t)
@@ -53,7 +53,7 @@ def e6(d):
         (b.x0 + b.x1) / 2.0 between a.x0 and a.x1 and (b.y0 + b.y1) / 2.0 between a.y0 and a.y1 as center_in from regions a join regions_b b on a.section_id = b.section_id and a.region_id = b.region_id"""
 
 
-@view
+@kept
 def matched(d):
     """Each region of the first reading with its best box of the second; ties: the first box."""
     return """select r.section_id, r.region_id, r.x1 - r.x0 as w, r.y1 - r.y0 as h, m.b, coalesce(m.iou, 0) >= 0.5 as found from regions r left join

@@ -7,7 +7,7 @@ A page is twenty documents, which bounds the windows over pages.
 
 from __future__ import annotations
 
-from pagegrain.plans.registry import view
+from pagegrain.plans.registry import kept, view
 
 
 @view
@@ -27,7 +27,7 @@ def pieces(d):
     return f"select doc_id, line_no, h, y0, cast(pos as bigint) as pos, piece from line_boxes {d.split('line', '[.] ', 'piece', 'pos', 'p')}"
 
 
-@view
+@kept
 def regions(d):
     """Boxes of a line differ in height and top; a few overlap the next one, and some leave a wide gap behind."""
     gap = "(case length(piece) % 7 when 3 then 90 when 5 then -10 else 12 end)"

@@ -14,10 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagegrain.plans.dialect import DUCK, SPARK, Spark
+from pagegrain.sources.scratch import materialize
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 VIEWS: dict[str, Callable[[Spark], str]] = {}
 OPS: dict[str, Callable[[Spark], str]] = {}
+KEPT: set[str] = set()
 
 
 def view(f):
@@ -25,6 +27,12 @@ def view(f):
     return f
 
 
+def kept(f):
+    """A view that a statement uses in several places is written once."""
+    KEPT.add(f.__name__)
+    return view(f)
+
+
 def op(name: str):
     def put(f):
         OPS[name] = f
@@ -105,15 +113,32 @@ def view_of(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
 
 
 def _sql(spark: SparkSession, sql: str, sf_dir: str | None, views: dict[str, DataFrame]) -> DataFrame:
+    views = _with_kept(spark, sql, sf_dir, dict(views))
     tag = uuid.uuid4().hex[:8]
     given = {v: f"{v}_{tag}" for v in views}
-    for v, df in views.items():
-        df.createOrReplaceTempView(given[v])
-    every = " ".join([sql, *(VIEWS[v](SPARK) for v in _ordered(sql, SPARK, set(views)))])
+    every = _every(sql, set(views))
     tables = {t: f"{t}_{tag}" for t in _needs(every, TABLES) if t not in views} if sf_dir else {}
-    for t, at in tables.items():
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(at)
-    return spark.sql(bound(sql, SPARK, given, tables))
+    frames = {at: views[v] for v, at in given.items()} | {at: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t, at in tables.items()}
+    try:
+        for at, df in frames.items():
+            df.createOrReplaceTempView(at)
+        return spark.sql(bound(sql, SPARK, given, tables))
+    finally:  # the plan holds what the names stood for
+        for at in frames:
+            spark.catalog.dropTempView(at)
+
+
+def _every(sql: str, given: set[str]) -> str:
+    """The statement with all views it needs."""
+    return " ".join([sql, *(VIEWS[v](SPARK) for v in _ordered(sql, SPARK, given))])
+
+
+def _with_kept(spark: SparkSession, sql: str, sf_dir: str | None, views: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Costly views that a statement names more than once are worked out once, written and read back."""
+    for name in _ordered(sql, SPARK, set(views)):
+        if name in KEPT and len(re.findall(rf"\b{name}\b", _every(sql, set(views)))) > 1:
+            views[name] = materialize(_sql(spark, f"select * from {name}", sf_dir, views), name)
+    return views
 
 
 def oracle(name: str) -> str | None:

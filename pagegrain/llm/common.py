@@ -36,14 +36,15 @@ def load(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the caller's whole row as one struct, so that no working column meets its names."""
-    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
-    return docs.select(F.col("doc_id"), F.col("text"), row.alias("row"))
+    """doc_id, text, ``absent`` (null text) and the caller's other columns as one struct, so that no working column meets their names."""
+    row = F.struct(F.lit(0).alias("-"), *(docs[f"`{c}`"] for c in docs.columns if c != "text"))
+    return docs.select(F.col("doc_id"), F.col("text"), F.col("text").isNull().alias("absent"), row.alias("row"))
 
 
-def unpacked(d: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
-    """The caller's columns back, with another text if given."""
-    return d.select(*((text if c == "text" and text is not None else F.col("row").getField(c)).alias(c) for c in columns))
+def unpacked(d: DataFrame, columns: list[str]) -> DataFrame:
+    """The caller's columns back; a text that was null is null."""
+    text = F.when(~F.col("absent"), F.col("text"))
+    return d.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in columns))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:

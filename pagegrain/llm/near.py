@@ -284,7 +284,7 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rows = packed(docs)
     nth = F.row_number().over(W.partitionBy("doc_id").orderBy("text"))
     kept = rows.where("doc_id is not null").join(keep.hint("merge"), "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1")
-    return unpacked(kept.select("doc_id", "text", "row").union(rows.where("doc_id is null")), docs.columns)
+    return unpacked(kept.select(rows.columns).union(rows.where("doc_id is null")), docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
 
     clean = F.aggregate(F.array_sort("all"), start, step, lambda a: F.concat(a["out"], cut(text, a["at"], F.length(text))))
-    return unpacked(d, docs.columns, F.when(F.size("all") > 0, clean).otherwise(F.col("row").getField("text")))
+    return unpacked(d.withColumn("text", F.when(F.size("all") > 0, clean).otherwise(text)), docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,13 @@
 """Blind judges and graded reports."""
 
-from pagegrain.plans.registry import op
+from pagegrain.plans.registry import op, view
+
+
+@view
+def axes(d):
+    """A row for each score of a segment: the scores are read once."""
+    pick = lambda *xs: "case k " + " ".join(f"when {i} then {x}" for i, x in enumerate(xs)) + " end"
+    return f"select target, {pick(*(chr(39) + a + chr(39) for a in ('judge_a', 'judge_b', 'axis_b')))} as axis, {pick('judge_a', 'judge_b', 'axis_b')} as v from scores {d.series('0', '2', 'k')}"
 
 
 @op("I1_blind_pairs")
@@ -10,8 +17,7 @@ def i1(d):
 
 @op("I2_axis_stats")
 def i2(d):
-    one = lambda a: f"select target, '{a}' as axis, {d.bround(f'avg({a})', 6)} as mean, min({a}) as low, count(case when {a} <= 7 then 1 end) as n_low, count(*) as n from scores group by target"
-    return " union all ".join(one(a) for a in ("judge_a", "judge_b", "axis_b"))
+    return f"select target, axis, {d.bround('avg(v)', 6)} as mean, min(v) as low, count(case when v <= 7 then 1 end) as n_low, count(*) as n from axes group by target, axis"
 
 
 @op("I3_compliance_counts")
@@ -49,15 +55,15 @@ def f7(d):
 
 @op("G12_axis_tally")
 def g12(d):
-    one = lambda a: f"select '{a}' as axis, count(case when {a} >= 9 then 1 end) as a, count(case when {a} in (7, 8) then 1 end) as b, count(case when {a} < 7 then 1 end) as c from scores"
-    return " union all ".join(one(a) for a in ("judge_a", "judge_b", "axis_b"))
+    return "select axis, count(case when v >= 9 then 1 end) as a, count(case when v in (7, 8) then 1 end) as b, count(case when v < 7 then 1 end) as c from axes group by axis"
 
 
 @op("G13_bucket_score")
 def g13(d):
-    return f"""with r as (select *, case when length(text) < 20 then 'short' when length(text) < 60 then 'middle' else 'long' end as bucket from regions),
-        k as (select *, row_number() over (partition by bucket order by score, section_id, region_id) as i, count(*) over (partition by bucket) as n from r)
-        select bucket, max(case when i = cast(floor(n / 2) as bigint) + 1 then score end) as median_score, count(*) as n from k group by bucket"""
+    """Upper median score by length of text, over one row for each score of a bucket."""
+    return """with c as (select bucket, score, count(*) as c from (select score, case when length(text) < 20 then 'short' when length(text) < 60 then 'middle' else 'long' end as bucket from regions) r group by bucket, score),
+        u as (select bucket, score, sum(c) over (partition by bucket order by score) as upto, sum(c) over (partition by bucket) as n from c)
+        select bucket, min(case when upto > cast(floor(n / 2) as bigint) then score end) as median_score, cast(max(n) as bigint) as n from u group by bucket"""
 
 
 @op("M5_ox_tally")

@@ -532,7 +532,7 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_are_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages_leave_every_column_of_the_caller_alone(spark):

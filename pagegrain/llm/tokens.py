@@ -1,24 +1,35 @@
 """Token ids of whole texts with a public byte-level BPE.
 
-The vocabulary's pre-tokeniser never lets a token run from a printing character into
-the space after it, so a text without white space on both sides of a space, and without a
-literal of an added token, may be cut before each space. The parts repeat a lot; the ids that the tokenizers library gives them
-are remembered per worker, up to a fixed number of parts. Any other text goes through the
-library whole.
+The vocabulary's pre-tokeniser splits a text into runs of letters, digits, signs and white
+space; merges never cross them. ``CUT`` names places that are such a border whatever stands
+further away, by the kinds of three code points. Texts are cut there, many at a time as
+arrays of code points; equal pieces are found by two 64-bit hashes within a block, and only
+one of each is looked up among the ids that the tokenizers library gave before, up to a
+fixed number of pieces. Code points of no listed kind are never cut from their neighbours. A
+text with a literal of an added token goes through the library whole.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import pandas as pd
 from tokenizers import Tokenizer
 
 DEFAULT = "byte_bpe_50k.json"
-SIGNS = ".,;:!?\n"
-_TRIPLE = re.compile(r"\s \s")
-_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"  # letters in any version of Unicode
-_WORDS = re.compile(f"({_LATIN})([.,;:!?]?)(?:\n({_LATIN})([.,;:!?]?))?")
+EDGE, LETTER, DIGIT, SIGN, QUOTE, SPACE, WHITE, OTHER = range(8)
+#: code points that are letters in every version of Unicode: Latin, Greek, Cyrillic, kana, Han, Hangul
+LETTERS = [
+    (0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x3B1, 0x3C9), (0x410, 0x44F),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
+#: signs that are neither letters, digits nor white space
+SIGNS = [
+    (0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA1, 0xA9), (0xAB, 0xAB), (0xBF, 0xBF),
+    (0x2010, 0x2027), (0x3001, 0x3003), (0x300C, 0x300F), (0xFF01, 0xFF01), (0xFF0C, 0xFF0C), (0xFF1A, 0xFF1B), (0xFF1F, 0xFF1F),
+]
+BLOCK = 1 << 21  # code points that are hashed at a time
+LONGEST = 64  # code points of a remembered piece
+_MULS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 
 
 def vocabulary(name: str = DEFAULT) -> str:
@@ -27,6 +38,59 @@ def vocabulary(name: str = DEFAULT) -> str:
     return public_tokenizers.path(name)
 
 
+def _kinds() -> np.ndarray:
+    kind = np.full(1 << 16, OTHER, np.uint8)
+    for these, k in ((LETTERS, LETTER), (SIGNS, SIGN), ([(0x30, 0x39)], DIGIT), ([(0x09, 0x0D)], WHITE)):
+        for a, b in these:
+            kind[a : b + 1] = k
+    kind[0x20], kind[0x27] = SPACE, QUOTE
+    return kind
+
+
+def _cuts() -> np.ndarray:
+    """Whether a piece begins at the second of three kinds.
+
+    White space begins a piece after anything that is none. The last of several white code
+    points before something else is apart; a space stays with what follows, others do not.
+    Runs of one kind end where the next begins, but letters may belong to a quote before them.
+    """
+    cut = np.zeros((8, 8, 8), bool)
+    cut[EDGE], cut[:, EDGE] = True, True
+    solid = (LETTER, DIGIT, SIGN, QUOTE)
+    for a in solid:
+        cut[a, [SPACE, WHITE]] = True
+        for b in solid:
+            cut[a, b] = (a, b) not in {(LETTER, LETTER), (DIGIT, DIGIT), (SIGN, SIGN), (QUOTE, QUOTE), (SIGN, QUOTE), (QUOTE, SIGN), (QUOTE, LETTER)}
+        for p in (SPACE, WHITE, OTHER):
+            cut[p, [SPACE, WHITE], a] = True
+        cut[WHITE, a] = True
+    return cut.reshape(-1)
+
+
+KIND, CUT = _kinds(), _cuts()
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the k-th multiplier and of its inverse."""
+    if k not in _POWERS or len(_POWERS[k][0]) < n:
+        with np.errstate(over="ignore"):
+            up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, np.uint64(pow(int(_MULS[k]), e, 1 << 64)))]) for e in (1, -1))
+        if n > BLOCK + LONGEST:
+            return up, down
+        _POWERS[k] = up, down
+    return _POWERS[k]
+
+
+def _hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
+    up, down = _powers(k, max(len(points), BLOCK))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points + np.uint32(1)) * up[: len(points)], out=total[1:])
+        h = (total[end] - total[start]) * down[start]
+        return h ^ (h >> np.uint64(32))
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = 1_000_000):
         self.tok = Tokenizer.from_file(path)
@@ -34,81 +98,95 @@ class Encoder:
         self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.size = self.tok.get_vocab_size()
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.most = remembered
         pieces = self.tok.get_vocab()
         self.spaced = np.zeros(max(pieces.values()) + 1, bool)
         self.spaced[[i for p, i in pieces.items() if p[0] == "\u0120"]] = True  # the byte-level sign of a space
-        self.parts: dict[str, bytes] = {}  # ids of " " + part
-        self.bare: dict[str, bytes] = {}  # ids of words that begin a line
-        self.signs = {"": b"", None: b""} | dict(zip(SIGNS, self._plain(list(SIGNS))))
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        self.most = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # piece: its number
+        self.end = np.zeros(1, np.int64)  # where the ids of each piece end, after a first 0
+        self.flat = np.zeros(0, self.kind)
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _joined(self, parts: list[str]) -> list[bytes]:
-        """Ids of ``" " + part`` for parts that neither begin nor end with white space.
+    def _led(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Ids of pieces that begin with their only space and end with no white space, and how many each has.
 
-        They are encoded many at a time. Only a part's first token begins with a space,
-        which tells where each part begins.
+        They are encoded a thousand in one text. A token begins with a space only where a piece begins.
         """
-        out = []
-        texts = [" " + " ".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)]
-        for found in self.tok.encode_batch(texts, add_special_tokens=False):
-            ids = np.array(found.ids, self.kind)
-            raw = ids.tobytes()
-            cut = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * self.kind.itemsize
-            out += [raw[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-        if len(out) != len(parts):
-            raise ValueError("a part's first token does not begin with a space")
-        return out
-
-    def _lined(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts made of letters alone, without a space before."""
-        out = []
-        for found in self.tok.encode_batch(["\n".join(parts[i : i + 1000]) for i in range(0, len(parts), 1000)], add_special_tokens=False):
-            ids = np.array(found.ids, self.kind)
-            raw, size = ids.tobytes(), self.kind.itemsize
-            cut = [-1, *np.flatnonzero(ids == self.newline).tolist(), len(ids)]
-            out += [raw[(i + 1) * size : j * size] for i, j in zip(cut, cut[1:])]
-        if len(out) != len(parts):
-            raise ValueError("lines do not keep apart")
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember the ids of ``" " + part``. A word with a sign after it, alone or before a
-        new line and another such word, is put together from ids of its pieces: letters,
-        signs and line ends are apart for the pre-tokeniser."""
-        made = [(p, m.groups()) for p, m in ((p, _WORDS.fullmatch(p)) for p in new) if m]
-        cores = list({g[0] for _, g in made}.difference(self.parts))
-        easy = [p for p in new.difference(p for p, _ in made) if p and not p[0].isspace() and not p[-1].isspace()]
-        self.parts.update(zip(cores + easy, self._joined(cores + easy)))
-        lines = list({g[2] for _, g in made if g[2]}.difference(self.bare))
-        self.bare.update(zip(lines, self._lined(lines)))
-        for p, (word, sign, line, after) in made:
-            got = self.parts[word] + self.signs[sign]
-            self.parts[p] = got + self.signs["\n"] + self.bare[line] + self.signs[after] if line else got
-        rest = list(new.difference(self.parts))
-        self.parts.update(zip(rest, self._plain([" " + p for p in rest])))
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text (null: empty) as little-endian integers of ``self.kind``."""
-        cut = [None if not t or _TRIPLE.search(t) or any(a in t for a in self.added) else t.split(" ") for t in texts]
-        parts = set().union(*(c[1:] for c in cut if c))
-        if len(self.parts) + len(self.bare) > self.most:  # the parts in use stay
-            self.parts, self.bare = {p: self.parts[p] for p in parts & self.parts.keys()}, {}
-        if new := parts.difference(self.parts):
-            self._learn(new)
-        heads = iter(self._plain([c[0] for c in cut if c]))
-        whole = iter(self._plain([t for t, c in zip(texts, cut) if t and not c]))
-        get = self.parts.__getitem__
-        return [(next(heads) + b"".join(map(get, c[1:]))) if c else next(whole) if t else b"" for t, c in zip(texts, cut)]
+        ids = [np.array(x, self.kind) for x in self._plain(["".join(pieces[i : i + 1000]) for i in range(0, len(pieces), 1000)])]
+        many = [np.diff(np.r_[np.flatnonzero(self.spaced[x]), len(x)]) for x in ids]
+        if sum(map(len, many)) != len(pieces):
+            raise ValueError("a piece's first token does not begin with a space")
+        return np.concatenate(many), ids
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The number of each of some distinct pieces; ids of new ones are added."""
+        if len(self.known) > self.most or len(self.end) > 2 * self.most:
+            self._forget()
+        get = self.known.get
+        number = np.array([get(p, -1) for p in pieces], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            led = np.array([p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() and " " not in p[1:] for p in map(pieces.__getitem__, new.tolist())])
+            new = np.r_[new[led], new[~led]]
+            fresh, cut = [pieces[i] for i in new.tolist()], int(led.sum())
+            many, ids = self._led(fresh[:cut]) if cut else ([], [])
+            rest = self._plain(fresh[cut:])
+            first = len(self.end) - 1
+            number[new] = first + np.arange(len(new))
+            self.known.update((p, first + i) for i, p in enumerate(fresh) if len(p) <= LONGEST)
+            self.end = np.append(self.end, self.end[-1] + np.cumsum(np.r_[many, [len(x) for x in rest]].astype(np.int64)))
+            self.flat = np.concatenate([self.flat, *ids, np.array([i for x in rest for i in x], self.kind)])
+        return number
+
+    def _block(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive pieces, and how many each has."""
+        base = int(start[0])
+        points, a, b = points[base : end[-1]], start - base, end - base
+        code, of = pd.factorize(_hashes(points, a, b, 0))
+        first = np.empty(len(of), np.int64)
+        first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        check = _hashes(points, a, b, 1)
+        if not (check == check[first][code]).all():  # two pieces share a hash: take each by itself
+            code, first = np.arange(len(start)), np.arange(len(start))
+        number = self._numbers([text[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())])[code]
+        at, n = self.end[number], self.end[number + 1] - self.end[number]
+        before = np.cumsum(n) - n
+        return self.flat[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
 
     def ids(self, texts: list[str | None], end: int | None = 0) -> list[np.ndarray]:
-        """Ids of each text, then ``end``."""
-        last = b"" if end is None else np.array([end], self.kind).tobytes()
-        return [np.frombuffer(raw + last, self.kind) for raw in self.many(texts)]
+        """Ids of each text (null: empty), then ``end``, as little-endian integers of ``self.kind``."""
+        whole = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        cut = ["" if i in whole else t or "" for i, t in enumerate(texts)]
+        size = np.array([len(t) for t in cut], np.int64) + 1
+        stop = np.cumsum(size) - 1  # the mark after each text
+        text = "\0".join([*cut, ""])
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        kind = np.full(len(points) + 2, EDGE, np.uint8)
+        kind[1:-1] = KIND[np.minimum(points, 0xFFFF)]
+        kind[stop + 1] = EDGE
+        three = kind[:-2].astype(np.uint16) << 6
+        three |= kind[1:-1] << np.uint8(3)
+        three |= kind[2:]
+        begin = np.flatnonzero(CUT[three])
+        finish = np.append(begin[1:], len(points))
+        real = kind[begin + 1] != EDGE
+        begin, finish = begin[real], finish[real]
+        got, many = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        at = np.unique(np.r_[np.searchsorted(begin, np.arange(0, len(points), BLOCK)), len(begin)])
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            x, n = self._block(text, points, begin[a:b], finish[a:b])
+            got.append(x), many.append(n)
+        flat = np.concatenate(got)
+        place = np.r_[0, np.cumsum(np.concatenate(many))][np.searchsorted(begin, np.r_[0, stop])].tolist()
+        other = dict(zip(sorted(whole), self._plain([texts[i] for i in sorted(whole)])))
+        last = np.array([] if end is None else [end], self.kind)
+        parts = (np.array(other[i], self.kind) if i in whole else flat[place[i] : place[i + 1]] for i in range(len(texts)))
+        return [np.concatenate([x, last]) for x in parts]
 
 
 _ENCODERS: dict[str, Encoder] = {}

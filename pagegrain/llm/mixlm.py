@@ -6,7 +6,9 @@ give each decision a probability: the tree's own counts (one byte of context), h
 counts after the last four bytes, and hashed counts after the current word's beginning.
 All counts come from every training document and are summed by Spark. The tables of the
 hashed counts grow with the text: they have at least ``SPREAD`` places for each distinct
-pair of a context and the byte after it.
+pair of a context and the byte after it. A task counts distinct pairs first; only these are
+turned into decisions. The tables are written to the shared folder by range of places, and
+each Python worker reads them from there with Arrow's file systems.
 
 A document mixes the predictors in the logistic domain with a set of weights chosen by a
 gate (how often the word predictor has seen the place), and refines the result by an
@@ -23,6 +25,8 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,8 @@ LEAST_BITS = 21  # of the places of a table
 SPREAD = 4
 SKETCH = 12  # bits of the registers that estimate the distinct pairs
 HOT = 1 << 16
+HELD_KEYS = 1 << 22  # that a task holds before it passes them on
+RANGE = 19  # bits of the places in a written row of a table
 GATES, MAP = 8, 24
 RATE, MAP_PRIOR = 0.002, 20.0
 START = np.array([0.1, 0.65, 0.5], np.float32)
@@ -128,15 +134,28 @@ def slots(node: np.ndarray, context: np.ndarray, k: int, bits: int) -> np.ndarra
         return (x ^ (x >> np.uint32(13))) >> np.uint32(32 - bits)
 
 
-def sketch(seen: np.ndarray, c: Coded) -> None:
-    """Enter a slice's distinct pairs of a context and the byte after it into ``seen`` (2, 2**SKETCH).
+def enter(seen: np.ndarray, keys: np.ndarray) -> None:
+    """Enter distinct keys into registers: each has the greatest rank (leading zeros and one) of its hashes (HyperLogLog)."""
+    h = mix(keys, 41)
+    rank = 65 - SKETCH - np.frexp((h & np.uint64((1 << 64 - SKETCH) - 1)).astype(np.float64))[1]
+    np.maximum.at(seen, (h >> np.uint64(64 - SKETCH)).astype(np.int64), rank)
+
+
+def coded_pairs(c: Coded, apart: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table, the distinct keys of a slice and how often each occurs.
 
-    A register has the greatest rank (leading zeros and one) of its hashes (HyperLogLog).
+    A key has the context (32 bits), the byte before, the byte and whether its row is of the fold for the first weights.
     """
-    for k, context in enumerate((c.four, c.word)):
-        h = mix(np.unique(context.astype(np.uint64) << np.uint64(8) | c.now), 41)
-        rank = 65 - SKETCH - np.frexp((h & np.uint64((1 << 64 - SKETCH) - 1)).astype(np.float64))[1]
-        np.maximum.at(seen[k], (h >> np.uint64(64 - SKETCH)).astype(np.int64), rank)
+    low = c.before.astype(np.uint64) << np.uint64(9) | c.now.astype(np.uint64) << np.uint64(1)
+    if apart is not None:
+        low |= apart[c.row].astype(np.uint64)
+    return [np.unique(x.astype(np.uint64) << np.uint64(17) | low, return_counts=True) for x in (c.four, c.word)]
+
+
+def sketch(seen: np.ndarray, c: Coded) -> None:
+    """Enter a slice's distinct pairs of a context and the byte after it into ``seen`` (2, 2**SKETCH)."""
+    for k, (keys, _) in enumerate(coded_pairs(c)):
+        enter(seen[k], keys >> np.uint64(1))
 
 
 def distinct_of(seen: np.ndarray) -> float:
@@ -153,100 +172,131 @@ def bits_for(seen: np.ndarray) -> list[int]:
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """``key``, ``n``: words of the training rows by hash, and (``pair`` true) pairs of coded bytes.
+    """``kind``, ``key``, ``n`` of the training rows: words by hash (0), pairs of bytes (1), keys of ``coded_pairs`` (2 and 3).
 
-    Key -1 of the pairs is the number of rows; key ``-2 - (64 * register + rank)`` says that
+    Key -1 of the byte pairs is the number of rows; key ``-2 - (64 * register + rank)`` says that
     a task's sketch has this rank.
     """
 
+    def merged(kind, parts):
+        key = np.concatenate([k for k, _ in parts])
+        order = np.argsort(key)
+        key, n = key[order], np.concatenate([n for _, n in parts])[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, n = key[first], np.add.reduceat(n, first)
+        for a in range(0, len(key), 1 << 20):
+            cut = slice(a, a + (1 << 20))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), kind)), pa.array(key[cut].view(np.int64)), pa.array(n[cut].astype(np.int64))], ["kind", "key", "n"])
+
     def run(batches):
-        pairs, keys, counts = np.zeros(1 << 16, np.int64), [], []
+        pairs, parts = np.zeros(1 << 16, np.int64), {0: [], 2: [], 3: []}
         rows, seen = 0, np.zeros((2, 1 << SKETCH), np.int64)
         for batch in batches:
+            apart = batch.column(1).to_numpy(zero_copy_only=False) == WEIGHTS
             for t in texts(batch.column(0)):
                 rows += t.rows
-                sketch(seen, c := Coded(t))
+                c = Coded(t)
                 pairs += np.bincount(c.before.astype(np.int64) << 8 | c.now, minlength=1 << 16)
-                k, n = np.unique(words(t._replace(data=_LOWER[t.data])).hash, return_counts=True)
-                keys.append(k), counts.append(n)
+                parts[0].append(np.unique(words(t._replace(data=_LOWER[t.data])).hash, return_counts=True))
+                for k, (keys, n) in enumerate(coded_pairs(c, apart[t.first : t.first + t.rows])):
+                    enter(seen[k], keys >> np.uint64(1))
+                    parts[2 + k].append((keys, n))
+                for kind, have in parts.items():
+                    if sum(len(k) for k, _ in have) > HELD_KEYS:
+                        yield from merged(kind, have)
+                        have.clear()
+        for kind, have in parts.items():
+            if sum(len(k) for k, _ in have):
+                yield from merged(kind, have)
         if not rows:
             return
-        key, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
         got, ranks = np.flatnonzero(pairs), seen.reshape(-1)
         at = np.flatnonzero(ranks)
-        ranks = -2 - (64 * at + ranks[at])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([key.view(np.int64), got, [-1], ranks])),
-                pa.array(np.concatenate([np.zeros(len(key), bool), np.ones(len(got) + 1 + len(ranks), bool)])),
-                pa.array(np.concatenate([n, pairs[got], [rows], np.ones(len(ranks), np.int64)])),
-            ],
-            ["key", "pair", "n"],
-        )
+        key = np.concatenate([got, [-1], -2 - (64 * at + ranks[at])])
+        n = np.concatenate([pairs[got], [rows], np.ones(len(at), np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(key), np.int64)), pa.array(key), pa.array(n)], ["kind", "key", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, pair boolean, n long").groupBy("key", "pair").agg(F.sum("n").alias("n"))
+    return docs.select("text", F.col("fold").cast("long")).mapInArrow(run, "kind long, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def tables(docs: DataFrame, trees: Trees, bits: list[int], out: np.ndarray | None = None) -> np.ndarray:
-    """Counts of the two hashed predictors over ``docs``, one after the other, added to ``out``; see ``parts_of``."""
-    base = np.cumsum([0, *(2 << b for b in bits)])
-    sent = docs.sparkSession.sparkContext.broadcast(trees)
+def tables(known: DataFrame, trees: Trees, bits: list[int]) -> Stored:
+    """Both hashed predictors' tables, a written row for each ``2**RANGE`` places.
+
+    ``known`` is ``vocabulary``'s. Each key becomes the decisions on the path to its byte; the counts of a range of
+    places meet in one task, which is bounded by the range. Columns known0 and age0 leave out the fold for the first
+    weights, known1 and age1 have it.
+    """
+    sent = known.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches):
-        tree, counts = sent.value, np.zeros(base[-1], np.int32)
+        tree = sent.value
         for batch in batches:
-            for t in texts(batch.column(0), 1 << 21):
-                c = Coded(t)
-                for a in range(0, len(c.now), 1 << 18):
-                    s = slice(a, a + (1 << 18))
-                    byte, at = tree.steps(c.before[s], c.now[s])
-                    node, bit = tree.nodes[at], tree.bits[at]
-                    for k, context in enumerate((c.four[s], c.word[s])):
-                        got = slots(node, context[byte], k, bits[k]).astype(np.int64) * 2 + bit
-                        np.add.at(counts, got + base[k], 1)
-        for a in range(0, len(counts), 1 << 22):
-            at = np.flatnonzero(counts[a : a + (1 << 22)]) + a
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at].astype(np.int64))], ["slot", "n"])
-
-    # a task sends at most base[-1] rows, so let it count a few input splits
-    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
-    docs = docs.select("text").coalesce(max(1, min(parts, max(2 * cores, parts // 8))))
-    rows = docs.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-    def packed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], ["slot", "n"])
-
-    out = np.zeros(base[-1], np.int64) if out is None else out
-    for slot, n in rows.mapInArrow(packed, "slot binary, n binary").toLocalIterator():  # one partition at a time
-        out[np.frombuffer(slot, np.int64)] += np.frombuffer(n, np.int64)
-    return out
+            kinds, keys, n = (c.to_numpy() for c in batch.columns)
+            keys = keys.view(np.uint64)
+            for k in (0, 1):
+                mine = kinds == 2 + k
+                key, times = keys[mine], n[mine]
+                before, now = ((key >> np.uint64(s) & np.uint64(255)).astype(np.int64) for s in (9, 1))
+                byte, at = tree.steps(before, now)
+                slot = slots(tree.nodes[at], (key >> np.uint64(17)).astype(np.uint32)[byte], k, bits[k]).astype(np.int64)
+                code = slot << 2 | (key & np.uint64(1)).astype(np.int64)[byte] << 1 | tree.bits[at]
+                order = np.argsort(code)
+                code, times = code[order], times[byte][order]
+                first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
+                if len(first):
+                    code, times = code[first], np.add.reduceat(times, first)
+                    yield pa.RecordBatch.from_arrays([pa.array(k << 32 | code >> RANGE + 2), pa.array(code & ((4 << RANGE) - 1)), pa.array(times)], ["part", "at", "n"])
+
+    def build(group: pa.Table) -> pa.Table:
+        at, n = (group.column(c).to_numpy() for c in ("at", "n"))
+        counts = np.bincount(at, n, 4 << RANGE).reshape(-1, 2, 2)
+        made = [group.column("part").slice(0, 1).combine_chunks()]
+        for c in (counts[:, 0], counts.sum(1)):
+            total = c.sum(-1)
+            value = np.round(stretch((c[:, 1] + 0.3) / (total + 0.6)) * 512).clip(-8192, 8191).astype("<i2")
+            age = np.log2(total + 1).astype(np.uint8).clip(0, GATES - 1)
+            made += [pa.array([value.tobytes()], pa.binary()), pa.array([age.tobytes()], pa.binary())]
+        return pa.table(made, ["part", "known0", "age0", "known1", "age1"])
+
+    rows = known.where("kind > 1").mapInArrow(run, "part long, at long, n long")
+    many = sum(1 << b - RANGE for b in bits)
+    rows = rows.repartition(min(many, 4 * known.sparkSession.sparkContext.defaultParallelism), "part")
+    return Stored(rows.groupBy("part").applyInArrow(build, "part long, known0 binary, age0 binary, known1 binary, age1 binary"), "lm-tables")
+
+
+_LOADED: dict[tuple[str, int], tuple[list[np.ndarray], np.ndarray]] = {}
 
 
-def parts_of(counts: np.ndarray, bits: list[int]) -> list[np.ndarray]:
-    """The counts (2**bits, 2) of each predictor."""
-    return [x.reshape(-1, 2) for x in np.split(counts, [2 << bits[0]])]
+class Model:
+    """Trees, where the tables of the hashed predictors are, and first weights.
 
+    Tasks read the tables themselves from the shared folder, once a worker: neither the driver nor a broadcast has them.
+    ``whole``: with the fold for the first weights.
+    """
 
-class Model:
-    """Trees, estimates of the hashed predictors and first weights."""
-
-    def __init__(self, trees: Trees, counts: list[np.ndarray]):
-        self.trees, self.size = trees, [len(c).bit_length() - 1 for c in counts]
-        self.known = [np.zeros(len(c), np.int16) for c in counts]
-        self.age = np.zeros(len(counts[1]), np.uint8)
-        for known, count in zip(self.known, counts):
-            for a in range(0, len(count), 1 << 20):
-                c = count[a : a + (1 << 20)]
-                n = c.sum(-1)
-                known[a : a + (1 << 20)] = np.round(stretch((c[:, 1] + 0.3) / (n + 0.6)) * 512).clip(-8192, 8191)
-                if count is counts[1]:
-                    self.age[a : a + (1 << 20)] = np.log2(n + 1).astype(np.int64).clip(0, GATES - 1)
+    def __init__(self, trees: Trees, size: list[int], path: str, whole: bool):
+        self.trees, self.size, self.path, self.whole = trees, size, path, int(whole)
         self.first = np.broadcast_to(START, (GATES, 3)).copy()
 
+    def load(self) -> None:
+        """Sets ``known`` and ``age``; places that nobody has seen are 0."""
+        if (self.path, self.whole) not in _LOADED:
+            _LOADED.clear()
+            files, path = pa_fs.FileSystem.from_uri(self.path)
+            known, age = [np.zeros(1 << b, "<i2") for b in self.size], np.zeros(1 << self.size[1], np.uint8)
+            columns = ["part", f"known{self.whole}", f"age{self.whole}"]
+            for batch in dataset(path, filesystem=files, format="parquet").to_batches(columns=columns, batch_size=4, batch_readahead=1, fragment_readahead=1):
+                for part, value, old in zip(*(c.to_pylist() for c in batch.columns)):
+                    k, at = part >> 32, (part & 0xFFFFFFFF) << RANGE
+                    known[k][at : at + (1 << RANGE)] = np.frombuffer(value, "<i2")
+                    if k:
+                        age[at : at + (1 << RANGE)] = np.frombuffer(old, np.uint8)
+            _LOADED[self.path, self.whole] = known, age
+        self.known, self.age = _LOADED[self.path, self.whole]
+
     def bits(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each row of a slice, and the last weights (rows, GATES, 3)."""
+        self.load()
         c, tree = Coded(t), self.trees
         cost = np.zeros(t.rows)
         weight = np.broadcast_to(self.first, (t.rows, GATES, 3)).reshape(-1, 3).copy()
@@ -260,7 +310,7 @@ class Model:
         ends = np.searchsorted(block[order], np.arange(1, len(edges) + 1))
         for lo, hi in zip(ends[:-1], ends[1:]):
             slope = np.zeros((3, t.rows * GATES))
-            seen, ones = np.zeros(t.rows * MAP), np.zeros(t.rows * MAP)
+            met = np.zeros(2 * t.rows * MAP, np.int64)
             for a in range(lo, hi, 1 << 15):
                 sel = order[a : min(hi, a + (1 << 15))]
                 before, now, row = c.before[sel], c.now[sel], c.row[sel]
@@ -279,9 +329,9 @@ class Model:
                 err = bit - p
                 for k in range(3):
                     slope[k] += np.bincount(gate, err * x[k], t.rows * GATES)
-                seen += np.bincount(spot, minlength=t.rows * MAP)
-                ones += np.bincount(spot, bit, t.rows * MAP)
+                met += np.bincount(2 * spot + bit, minlength=len(met))
             weight += (RATE * slope.T).clip(-0.25, 0.25).astype(np.float32)
+            ones, seen = met[1::2], met[::2] + met[1::2]
             level += ((ones - seen * level) / (seen + MAP_PRIOR)).astype(np.float32)
             np.clip(level, 1e-4, 1 - 1e-4, out=level)
         return cost, weight.reshape(t.rows, GATES, 3)
@@ -318,7 +368,7 @@ def score(docs: DataFrame) -> DataFrame:
     train = docs.where(F.col("fold") != HELD)
     known = Stored(vocabulary(train), "lm-words")
     pairs, ends, seen = np.zeros(1 << 16), 0, np.zeros(2 << SKETCH)
-    for key, n in known.df.where("pair").select("key", "n").collect():  # pairs of bytes, and some ranks a register
+    for key, n in known.df.where("kind = 1").select("key", "n").collect():  # pairs of bytes, and some ranks a register
         if key < -1:
             at, rank = divmod(-2 - key, 64)
             seen[at] = max(seen[at], rank)
@@ -326,7 +376,7 @@ def score(docs: DataFrame) -> DataFrame:
             ends = n
         else:
             pairs[key] = n
-    vocab = known.df.where("not pair").select("key", "n")
+    vocab = known.df.where("kind = 0").select("key", "n")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v_all = total + ends, distinct + (ends > 0)
     common = vocab.orderBy(F.desc("n"), "key").limit(HOT).collect()
@@ -335,10 +385,9 @@ def score(docs: DataFrame) -> DataFrame:
         hot_key[(key % 2**64) >> 44], hot_n[(key % 2**64) >> 44] = key % 2**64, n
 
     trees, bits = Trees(pairs.reshape(256, 256)), bits_for(seen.reshape(2, -1))
-    apart = train.where(F.col("fold") == WEIGHTS)
-    counts = tables(train.where(F.col("fold") != WEIGHTS), trees, bits)
-    first = first_weights(apart, Model(trees, parts_of(counts, bits))).astype(np.float32)
-    model = Model(trees, parts_of(tables(apart, trees, bits, counts), bits))
+    places = tables(known.df, trees, bits)
+    first = first_weights(train.where(F.col("fold") == WEIGHTS), Model(trees, bits, places.path, whole=False)).astype(np.float32)
+    model = Model(trees, bits, places.path, whole=True)
     model.first = first
     sent = docs.sparkSession.sparkContext.broadcast((model, hot_key, np.log10(hot_n + 1)))
 

@@ -37,7 +37,7 @@ LEAST_BITS = 21  # of the places of a table
 SPREAD = 4
 SKETCH = 12  # bits of the registers that estimate the distinct pairs
 HOT = 1 << 16
-HELD_KEYS = 1 << 22  # that a task holds before it passes them on
+HELD_KEYS = 1 << 20  # that a task holds before it passes them on
 RANGE = 19  # bits of the places in a written row of a table
 GATES, MAP = 8, 24
 RATE, MAP_PRIOR = 0.002, 20.0
@@ -184,11 +184,12 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         key, n = key[order], np.concatenate([n for _, n in parts])[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         key, n = key[first], np.add.reduceat(n, first)
-        for a in range(0, len(key), 1 << 20):
-            cut = slice(a, a + (1 << 20))
+        for a in range(0, len(key), 1 << 17):
+            cut = slice(a, a + (1 << 17))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), kind)), pa.array(key[cut].view(np.int64)), pa.array(n[cut].astype(np.int64))], ["kind", "key", "n"])
 
     def run(batches):
+        _LOADED.clear()  # a worker that scored before holds its tables
         pairs, parts = np.zeros(1 << 16, np.int64), {0: [], 2: [], 3: []}
         rows, seen = 0, np.zeros((2, 1 << SKETCH), np.int64)
         for batch in batches:

@@ -189,7 +189,7 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[cut]), kind)), pa.array(key[cut].view(np.int64)), pa.array(n[cut].astype(np.int64))], ["kind", "key", "n"])
 
     def run(batches):
-        _LOADED.clear()  # a worker that scored before holds its tables
+        release()
         pairs, parts = np.zeros(1 << 16, np.int64), {0: [], 2: [], 3: []}
         rows, seen = 0, np.zeros((2, 1 << SKETCH), np.int64)
         for batch in batches:
@@ -268,6 +268,11 @@ def tables(known: DataFrame, trees: Trees, bits: list[int]) -> Stored:
 _LOADED: dict[tuple[str, int], tuple[list[np.ndarray], np.ndarray]] = {}
 
 
+def release() -> None:
+    """Let go of the tables that this worker holds. (A nested function would clear its own pickled copy of the cache.)"""
+    _LOADED.clear()
+
+
 class Model:
     """Trees, where the tables of the hashed predictors are, and first weights.
 
@@ -282,7 +287,7 @@ class Model:
     def load(self) -> None:
         """Sets ``known`` and ``age``; places that nobody has seen are 0."""
         if (self.path, self.whole) not in _LOADED:
-            _LOADED.clear()
+            release()
             files, path = pa_fs.FileSystem.from_uri(self.path)
             known, age = [np.zeros(1 << b, "<i2") for b in self.size], np.zeros(1 << self.size[1], np.uint8)
             columns = ["part", f"known{self.whole}", f"age{self.whole}"]

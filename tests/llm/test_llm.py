@@ -497,6 +497,18 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert dac.read_ids(spark.createDataFrame(none.collect(), none.schema), folder).count() == 0
 
 
+def test_encoder_cuts_where_the_library_does():
+    """Any neighbours: white space of several kinds, quotes, marks, digits and letters of no listed kind."""
+    e, r = tokens.Encoder(tokens.vocabulary()), random.Random(11)
+    some = [*" \n\t'\"ab1s.,-\r\x0b\x1c\0", "'s", "'ll", "  ", "\n\n", "\u00e9", "\u65e5", "\u3000", "\u00a0", "\u2019", "\u00b2", "\u0301", "\u0085", "\u0416", "\u00bd", "\u0663", "\u200b", "\ufeff", "\u01c5", "\U0001f600"]
+    for _ in range(20):
+        hard = ["".join(r.choices(some, k=r.randint(0, 12))) for _ in range(1000)]
+        want = [x.ids + [0] for x in e.tok.encode_batch(hard, add_special_tokens=False)]
+        assert [x.tolist() for x in e.ids(hard)] == want
+    long = ["x" * 300_000 + " y", None, "", "ab " * 100_000, "a <|endoftext|> b"]
+    assert [x.tolist() for x in e.ids(long)] == [e.tok.encode(t or "", add_special_tokens=False).ids + [0] for t in long]
+
+
 def test_encoder_parts():
     e = tokens.Encoder(tokens.vocabulary(), remembered=50)
     hard = ["  a", "a   b", "a \n b", "x \nBar", "\n\n a  \t b ", "", None, " ", "it's 's <|endoftext|> a　b   c\r\n d", "Ünder.\nÄpfel, x×y. 12.\n12", *(t for _, t in ROWS)]

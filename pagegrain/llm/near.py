@@ -30,6 +30,8 @@ from pagegrain.sources.scratch import Stored
 SHINGLE = 5
 K, ROWS = 64, 4
 LEAST = 0.8
+#: rows whose darts are in memory at a time: each throws about K ln K + 3 K of them, however short it is
+ROWS_AT_ONCE = 1024
 
 
 def shingles(t: Texts, weight: str = "set") -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,13 @@ def shingles(t: Texts, weight: str = "set") -> tuple[np.ndarray, np.ndarray]:
 
 
 def darts(row: np.ndarray, cell: np.ndarray, rows: int, k: int = K) -> np.ndarray:
-    """Signatures (rows, k): the earliest dart of each coordinate; 0 for a row without cells."""
+    """Signatures (rows, k): the earliest dart of each coordinate; 0 for a row without cells. ``row`` is sorted."""
+    cut = np.searchsorted(row, np.append(np.arange(0, rows, ROWS_AT_ONCE), rows))
+    parts = [_darts(row[a:b] - i * ROWS_AT_ONCE, cell[a:b], min(ROWS_AT_ONCE, rows - i * ROWS_AT_ONCE), k) for i, (a, b) in enumerate(zip(cut, cut[1:]))]
+    return np.concatenate(parts) if parts else np.zeros((0, k), np.uint64)
+
+
+def _darts(row: np.ndarray, cell: np.ndarray, rows: int, k: int) -> np.ndarray:
     out = np.zeros((rows, k), np.uint64)
     weight = np.bincount(row, minlength=rows)
     until = (k * np.log(k) + 3 * k) / np.maximum(1, weight)

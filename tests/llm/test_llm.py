@@ -594,3 +594,15 @@ def test_links_across_classes_by_rare_cells(spark):
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert want <= got and len(want) > 20
     assert len(got) < len(rows) * (len(rows) - 1) / 2
+
+
+def test_darts_do_not_depend_on_rows_at_once(monkeypatch):
+    """Rows are independent: signatures are the same however many rows are in memory at a time, with empty rows among them."""
+    rng = np.random.default_rng(8)
+    row = np.sort(rng.choice(np.setdiff1d(np.arange(2500), [0, 1023, 1024, 2499]), 9000)).astype(np.int32)
+    cell = rng.integers(0, 2**63, len(row)).astype(np.uint64)
+    whole = near._darts(row, cell, 2500, near.K)
+    for at_once in (1, 7, 1024, 5000):
+        monkeypatch.setattr(near, "ROWS_AT_ONCE", at_once)
+        assert (near.darts(row, cell, 2500) == whole).all()
+    assert near.darts(row[:0], cell[:0], 0).shape == (0, near.K) and not near.darts(row[:0], cell[:0], 3).any()

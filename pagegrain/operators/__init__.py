@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("policy", "blocks", "calls", "judges", "splits", "match", "translate", "shapes", "lines", "cuts", "measure", "suppress", "stored", "terms", "reports")
+MODULES = ("policy", "blocks", "calls", "judges", "splits", "match", "translate", "shapes", "lines", "cuts", "measure", "suppress", "stored", "terms", "reports", "audit")
 
 
 def load_all() -> None:

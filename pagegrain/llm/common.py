@@ -6,12 +6,14 @@ character, so words are cut on the bytes of an Arrow column without decoding it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
@@ -47,6 +49,32 @@ def unpacked(d: DataFrame, columns: list[str]) -> DataFrame:
     return d.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in columns))
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Whole texts reach Python at most ``rows`` at a time in the jobs run inside; the session's own setting comes back."""
+    was = spark.conf.get(BATCH)
+    if 0 < int(was) <= rows:
+        yield
+        return
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, was)
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are used again, beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of ``x``."""
     with np.errstate(over="ignore"):

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from pagegrain.llm.common import held_out
+from pagegrain.llm.common import give_back, held_out
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -191,6 +191,7 @@ def identify(docs: DataFrame, model: Model, out: tuple[str, str] = ("lang_pred",
             found = [model.predict(t.as_py()) for t in batch.column(k)]
             got = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *got], names)
+        give_back()
 
     names = [*docs.columns, *out]
     return docs.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import Texts, load, mix, packed, texts, unpacked, windows, words
+from pagegrain.llm.common import Texts, give_back, load, mix, packed, texts, unpacked, windows, words
 from pagegrain.sources.scratch import Stored
 
 SHINGLE = 5
@@ -132,6 +132,7 @@ def signed(docs: DataFrame, weight: str = "set") -> DataFrame:
                     ],
                     ["doc_id", "fp1", "fp2", "bands"],
                 )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, fp1 long, fp2 long, bands array<long>")
 
@@ -186,6 +187,7 @@ def checked(pairs: DataFrame, cells: DataFrame, least: float) -> DataFrame:
             if keep:
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sims)], ["a", "b", "similarity"])
+        give_back()
 
     left, right = cells.select(F.col("doc_id").alias("a"), F.col("cells").alias("ca")), cells.select(F.col("doc_id").alias("b"), F.col("cells").alias("cb"))
     got = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "ca", "cb")
@@ -203,6 +205,7 @@ def cells_of(docs: DataFrame, weight: str = "set") -> DataFrame:
                 short = (cell >> np.uint64(32)).astype(np.uint32)
                 out = [np.sort(short[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, t.rows).cast(pa.int64()), pa.array(out, pa.binary())], ["doc_id", "cells"])
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, cells binary")
 
@@ -226,6 +229,7 @@ def rare_pairs(cells: DataFrame, root: DataFrame, least: float) -> DataFrame:
                     nth = np.arange(len(part)) - np.maximum.accumulate(np.where(new, np.arange(len(part)), 0))
                     same = lambda j: pa.array(np.full(len(part), batch.column(j)[i].as_py()))  # noqa: B023, E731
                     yield pa.RecordBatch.from_arrays([same(0), same(1), same(3), pa.array((part << 24) + nth)], ["id", "node", "n", "cell"])
+        give_back()
 
     d = cells.select(F.xxhash64("doc_id", "cells").alias("id"), F.col("doc_id").alias("node"), "cells", (F.octet_length("cells") / 4).cast("long").alias("n"))
     rows = Stored(d.mapInArrow(run, "id long, node long, n long, cell long"), "near-cell-rows").df

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pagegrain.llm import dac, decontam, langid, mixlm, near, packing, quality, queries, repeats, rules, secrets, tokens
+from pagegrain.llm import common, dac, decontam, langid, mixlm, near, packing, quality, queries, repeats, rules, secrets, tokens
 from pagegrain.llm.common import load, texts, words
 
 SF = "/root/testdata/sf0.001"
@@ -606,3 +606,14 @@ def test_darts_do_not_depend_on_rows_at_once(monkeypatch):
         monkeypatch.setattr(near, "ROWS_AT_ONCE", at_once)
         assert (near.darts(row, cell, 2500) == whole).all()
     assert near.darts(row[:0], cell[:0], 0).shape == (0, near.K) and not near.darts(row[:0], cell[:0], 3).any()
+
+
+def test_small_batches_only_inside(spark):
+    was = spark.conf.get(common.BATCH)
+    with common.small_batches(spark, 7):
+        sizes = spark.range(0, 50, 1, 2).mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long")
+        assert max(r.n for r in sizes.collect()) == 7
+        with common.small_batches(spark, 9):
+            assert spark.conf.get(common.BATCH) == "7"
+    assert spark.conf.get(common.BATCH) == was
+    common.give_back()

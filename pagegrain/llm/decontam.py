@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import load, mix, plainly, texts, words
+from pagegrain.llm.common import give_back, load, mix, plainly, texts, words
 
 #: For items of at least so many words: words of a window (as many steps), sampled steps, walks.
 PLANS = ((30, 12, 8, 4), (15, 8, 5, 4), (10, 6, 4, 4), (5, 3, 3, 4), (1, 4, 4, 1))
@@ -208,6 +208,7 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
                         ids = batch.column(0).slice(t.first, t.rows).take(pa.array(row))
                         cols = [ids, pa.array([index.ids[i] for i in item]), pa.array(d, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
                         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "item_id", "edits", "from_word", "to_word"])
+            give_back()
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
@@ -227,6 +228,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> Data
                     w = words(plainly(t))
                     bad.update(t.first + f[0] for f in index.leaks(w.hash, w.first))
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
+            give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -154,3 +154,11 @@ def test_no_regions_give_no_lines(spark):
     none = spark.createDataFrame([], REGIONS)
     for name in ("C4_merge_lines", "C5_merge_paragraphs", "C6_paragraph_blocks", "C9_units", "G5_group_lines", "G6_row_align"):
         assert run(spark, name, regions=none).count() == 0
+
+
+def test_units_blocks_and_rows_leave_one_pass(spark):
+    """Boxes are dealt by section for the gutters and for the fold; nothing is joined, and only boxes are written."""
+    df = spark.createDataFrame(made(9, 8), REGIONS)
+    for name, exchanges in (("C5_merge_paragraphs", 2), ("C6_paragraph_blocks", 2), ("C9_units", 2), ("G5_group_lines", 2), ("G6_row_align", 3)):
+        plan = run(spark, name, regions=df)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange") <= exchanges, (name, plan)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagegrain.functions import scan
 from pagegrain.functions.fold import fold
+from pagegrain.functions.stretch import stretches
 from pagegrain.plans.registry import frame, view
 from pagegrain.sources.scratch import materialize
 
@@ -111,8 +112,12 @@ def merge_pieces(pieces: DataFrame, rows: DataFrame, short: int = 1200, delta: i
     """
     band = 1024
     p = pieces.select("page_id", "span", "y0", "y1", F.explode(F.sequence(F.floor(F.col("y0") / band), F.floor((F.col("y1") - 1) / band))).alias("band"))
-    r = rows.select("page_id", F.col("y").alias("ry"), "color", F.floor(F.col("y") / band).alias("band"))
-    seen = p.join(r, ["page_id", "band"]).where("ry >= y0 and ry < y1").groupBy("page_id", "span", "y0", "y1", "color").agg(F.count(F.lit(1)).alias("n"))
+    # rows of one colour at equal distances travel as one stretch, cut into bands only after it is packed
+    r = stretches(rows.select("page_id", "color", F.col("y").cast("bigint").alias("ry")).where("ry is not null"), "ry", band)
+    r = r.select("*", F.explode(F.sequence(F.floor(F.col("ry") / band), F.floor((F.col("ry") + (F.col("n") - 1) * F.col("step")) / band))).alias("band"))
+    above = lambda y: F.least(F.col("n"), F.greatest(F.lit(0), F.ceil((y - F.col("ry")) / F.col("step"))))  # noqa: E731  rows of a stretch above y
+    inside = above(F.least(F.col("y1"), (F.col("band") + 1) * band)) - above(F.greatest(F.col("y0"), F.col("band") * band))
+    seen = p.join(r, ["page_id", "band"]).withColumn("inside", inside).where("inside > 0").groupBy("page_id", "span", "y0", "y1", "color").agg(F.sum("inside").alias("n"))
     seen = seen.groupBy("page_id", "span", "y0", "y1").agg(F.collect_list(F.struct("color", "n")).alias("colors"))
     p = pieces.select("page_id", "span", "y0", "y1").join(seen, ["page_id", "span", "y0", "y1"], "left")
 

@@ -120,3 +120,43 @@ def test_empty_tables(spark):
     none = lambda cols: spark.createDataFrame([], cols)
     assert run(spark, "B21_split_span", page_spans=none("page_id long, span long, lo long, hi long"), wide_blanks=none("page_id long, y0 long, y1 long")).count() == 0
     assert run(spark, "B9_thin_greedy", blank_middles=none("page_id long, y long"), line_heights=none("page_id long, h long")).count() == 0
+
+
+def test_rows_travel_as_stretches(spark):
+    """Rows of equal steps and colours are one row of the shuffle; odd steps, gaps, equal places and nulls stay apart and whole."""
+    from pagegrain.functions.stretch import stretches
+
+    rows = [(1, 5, y) for y in range(0, 64000, 16)] + [(1, 5, y) for y in (64000, 64001, 64001, 66000, 65000)] + [(None, 5, 7), (1, None, 8), (2, 5, 9), (2, 5, 10)]
+    df = spark.createDataFrame(rows, "page_id long, color long, y long").coalesce(1)
+    got = stretches(df, "y", 1024).collect()
+    back = [(r.page_id, r.color, r.y + k * r.step) for r in got for k in range(r.n)]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted(back, key=key) == sorted(rows, key=key) and len(got) < 20
+
+
+def test_pieces_count_rows_of_any_step_as_restated(spark):
+    import random
+
+    rng = random.Random(5)
+    pieces = [(1, 0, 100 * i, 100 * i + rng.choice((60, 100))) for i in range(40)]
+    rows = [(1, y, rng.choice((0x101010, 0xF0F0F0))) for y in range(0, 4000, 7)] + [(1, rng.randrange(4000), 0x808080) for _ in range(300)]
+    got = run(spark, "B12_merge_pieces", page_pieces=spark.createDataFrame(pieces, "page_id long, span long, y0 long, y1 long"), page_rows=spark.createDataFrame(rows, "page_id long, y long, color long"), short=50, delta=20, most=900)
+    main = lambda c: min(c, key=lambda k: (-c[k], k)) if c else 0
+    want, now = [], None
+    for _, _, a, b in pieces:
+        c = {}
+        for _, y, k in rows:
+            if a <= y < b:
+                c[k] = c.get(k, 0) + 1
+        if now and b - now[0] <= 900 and (now[1] - now[0] < 50 or b - a < 50 or max(abs((main(now[3]) >> s & 255) - (main(c) >> s & 255)) for s in (0, 8, 16)) < 20):
+            now[1:3] = b, now[2] + 1
+            for k, n in c.items():
+                now[3][k] = now[3].get(k, 0) + n
+            continue
+        if now:
+            want.append(tuple(now[:3]))
+        now = [a, b, 1, c]
+    want.append(tuple(now[:3]))
+    assert sorted((r.y0, r.y1, r.n) for r in got.collect()) == want
+    plan = run(spark, "B12_merge_pieces", "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan.split("Join")[-1]  # packed below the join

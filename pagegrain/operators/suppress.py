@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.functions import geom
-from pagegrain.plans.registry import frame, op, view
+from pagegrain.functions.stretch import stretches
+from pagegrain.plans.registry import frame, view
 from pagegrain.sources.scratch import Stored
 
 BAND = 256
@@ -73,6 +76,14 @@ def mask_runs(d):
         union all select section_id, 'text' as mask, y, {third} as x0, x1 from regions {row} where region_id % 2 = 0 and x1 > {third}"""
 
 
+@view
+def mask_boxes(d):
+    """The boxes whose rows are ``mask_runs``."""
+    third = d.floordiv("2 * x1 + x0", "3")
+    return f"""select section_id, 'raw' as mask, y0, y1, x0, x1 from regions where x1 > x0 union all select section_id, 'other' as mask, y0, y1, x0, x1 from regions_b where x1 > x0
+        union all select section_id, 'text' as mask, y0, y1, {third} as x0, x1 from regions where region_id % 2 = 0 and x1 > {third}"""
+
+
 @view
 def mask_steps(d):
     """For each stretch of a row between two ends of runs: its length and how many runs of each mask lie over it.
@@ -86,10 +97,108 @@ def mask_steps(d):
         (select section_id, mask, y, x0 as x, 1 as s from mask_runs union all select section_id, mask, y, x1 as x, -1 as s from mask_runs) q group by section_id, y, x) z"""
 
 
-@op("M8_mask_agreement")
-def m8(d):
+def _m8(d):
     """IoU of two masks outside the text (1 if both are empty there), the share of the first that lies under text, and the flags."""
     area = lambda test: f"coalesce(sum(case when {test} then w else 0 end), 0)"
     return f"""select section_id, {d.bround('iou', 6)} as iou, {d.bround('erased', 4)} as erased_pct, iou < 0.8 as differs, erased > 10 as eats_foreground from
         (select section_id, case when u > 0 then i / cast(u as double) else 1e0 end as iou, case when f > 0 then 100e0 * t / f else 0e0 end as erased from
         (select section_id, {area('raw > 0 and other > 0 and text_ = 0')} as i, {area('(raw > 0 or other > 0) and text_ = 0')} as u, {area('raw > 0')} as f, {area('raw > 0 and text_ > 0')} as t from mask_steps group by section_id) q) z"""
+
+
+MASKS = ("raw", "other", "text")
+#: boxes of a task that are swept at a time, at least
+SWEPT = 20_000
+
+
+def _areas(sec: np.ndarray, mask: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sections of boxes in order of section, and four areas of each: both masks and either outside the text, the first, the first under text.
+
+    A section's rows are cut where a box begins or ends; in each stretch of rows the ends of its boxes are swept along x.
+    """
+    same, at = np.unique(sec, return_inverse=True)
+    ends = np.unique(np.stack([np.r_[at, at], np.r_[y0, y1]]), axis=1)
+    span = int(ends[1].max() - ends[1].min()) + 1
+    place = lambda s, y: s * span + (y - ends[1].min())
+    cuts = place(*ends)
+    first, last = np.searchsorted(cuts, place(at, y0)), np.searchsorted(cuts, place(at, y1))
+    n = np.maximum(last - first, 0)
+    box = np.repeat(np.arange(len(sec)), n)
+    stretch = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n) + first[box]
+    stretch, x = np.r_[stretch, stretch], np.r_[x0[box], x1[box]]
+    order = np.lexsort((x, stretch))
+    sign, of = np.repeat([1, -1], len(box))[order], np.r_[mask[box], mask[box]][order]
+    stretch, x = stretch[order], x[order]
+    over = [np.cumsum(np.where(of == k, sign, 0))[:-1] > 0 for k in range(3)]
+    inside = stretch[1:] == stretch[:-1]
+    area = np.where(inside, x[1:] - x[:-1], 0) * np.where(inside, ends[1][np.minimum(stretch[:-1] + 1, len(cuts) - 1)] - ends[1][stretch[:-1]], 0)
+    raw, other, text = over
+    out = np.zeros((4, len(same)), np.int64)
+    for k, test in enumerate((raw & other & ~text, (raw | other) & ~text, raw, raw & text)):
+        np.add.at(out[k], ends[0][stretch[:-1]][test], area[test])
+    return same, out
+
+
+def mask_areas(masks: DataFrame) -> DataFrame:
+    """section_id and areas i, u, f, t of ``_areas`` of three masks given as runs of rows (section_id, mask, y, x0, x1), or as boxes
+    (y0 and y1, the row after the last).
+
+    Runs of one width that follow each other become boxes before they are dealt. Boxes of a section come from the top; where none
+    crosses a row, what lies above is swept, so a task holds ``SWEPT`` boxes, or one island of boxes that hang together.
+    """
+    code = F.coalesce(*(F.when(F.col("mask") == m, k) for k, m in enumerate(MASKS)), F.lit(len(MASKS))).cast("tinyint")
+    rows = ["y"] if "y" in masks.columns else ["y0", "y1"]
+    d = masks.select("section_id", code.alias("mask"), *(F.col(c).cast("bigint").alias(c) for c in ("x0", "x1", *rows))).dropna(subset=["x0", "x1", *rows])
+    if rows == ["y"]:
+        d = stretches(d, "y", 1).select("section_id", "mask", "x0", "x1", F.col("y").alias("y0"), (F.col("y") + F.col("n")).alias("y1"))
+    d = d.where("y1 > y0")
+    b = d.select(F.col("section_id").isNull().alias("none"), F.coalesce("section_id", F.lit(0)).cast("bigint").alias("section_id"), "mask", F.col("y0").alias("y"), "y1", "x0", "x1")
+    b = b.repartition("none", "section_id").sortWithinPartitions("none", "section_id", "y")
+
+    def swept(t: pa.Table) -> pa.RecordBatch:
+        none, sec, mask, y0, y1, x0, x1 = (c.to_numpy() for c in t.columns)
+        same, area = _areas(sec, mask, y0, y1, x0, x1)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(same), none[0])), pa.array(same), *(pa.array(a) for a in area)], names=["none", "section_id", *"iuft"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows, least = 0, SWEPT
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < least:
+                continue
+            t = pa.Table.from_batches(held)
+            none, sec, _, y0, y1, _, _ = (c.to_numpy() for c in t.columns)
+            new = (sec[1:] != sec[:-1]) | (none[1:] != none[:-1])
+            # the lowest end so far within a section, by places that rise from one section to the next
+            part = np.r_[0, np.cumsum(new)]
+            low, span = y0.min(), int(y1.max() - y0.min()) + 1
+            far = np.maximum.accumulate(part * span + (y1 - low))
+            clean = np.flatnonzero(new | (part[1:] * span + (y0[1:] - low) >= far[:-1])) + 1
+            if not len(clean):
+                least = 2 * rows
+                continue
+            yield from whole(t.slice(0, clean[-1]))
+            rest = t.slice(clean[-1])
+            held, rows, least = rest.to_batches(), rest.num_rows, max(SWEPT, 2 * rest.num_rows)
+        if rows:
+            yield from whole(pa.Table.from_batches(held))
+
+    def whole(t: pa.Table):
+        none = t.column("none").to_numpy()
+        k = int(np.searchsorted(none, True))  # null sections come last
+        for part in (t.slice(0, k), t.slice(k)):
+            if part.num_rows:
+                yield swept(part)
+
+    found = b.mapInArrow(run, "none boolean, section_id bigint, i bigint, u bigint, f bigint, t bigint")
+    return found.groupBy(F.when(~F.col("none"), F.col("section_id")).alias("section_id")).agg(*(F.sum(c).alias(c) for c in "iuft"))
+
+
+@frame("M8_mask_agreement", "mask_runs|mask_boxes", check=_m8)
+def m8(masks: DataFrame) -> DataFrame:
+    """IoU of two masks outside the text (1 if both are empty there), the share of the first that lies under text, and the flags."""
+    iou = F.when(F.col("u") > 0, F.col("i") / F.col("u").cast("double")).otherwise(1.0)
+    erased = F.when(F.col("f") > 0, F.lit(100.0) * F.col("t") / F.col("f")).otherwise(0.0)
+    d = mask_areas(masks).select("section_id", iou.alias("iou"), erased.alias("erased"))
+    return d.select("section_id", F.bround("iou", 6).alias("iou"), F.bround("erased", 4).alias("erased_pct"), (F.col("iou") < 0.8).alias("differs"), (F.col("erased") > 10).alias("eats_foreground"))

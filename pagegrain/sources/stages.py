@@ -98,7 +98,8 @@ def read_translations(spark: SparkSession, root: str, lines: bool = False) -> Da
     steps = F.split(inner, "/")
     d = files.select("value", inner.alias("file"), steps.alias("steps")).where(F.size("steps").between(2, 3)).withColumn("top", F.get("steps", F.lit(0)))
     flat = d.where(F.size("steps") == 2).select("top").distinct().withColumn("flat", F.lit(True))
-    d = d.join(flat, "top", "left").where((F.size("steps") == 2) | F.col("flat").isNull())
+    # a folder may hold all rows: they stay where they are, and the names of folders (a row each) go to them
+    d = d.join(F.broadcast(flat), "top", "left").where((F.size("steps") == 2) | F.col("flat").isNull())
     label = F.when(F.size("steps") == 2, F.col("top")).otherwise(F.concat_ws("/", "top", F.get("steps", F.lit(1))))
     d = d.select(label.alias("label"), "file", F.from_json("value", ANSWER, {"columnNameOfCorruptRecord": "_broken"}).alias("j"))
     failed = F.col("j").isNull() | F.col("j._broken").isNotNull() | F.coalesce(~F.col("j.parse_error").isin("", "false", "0"), F.lit(False))

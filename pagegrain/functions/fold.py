@@ -1,8 +1,9 @@
 """Ordered folds: the rows of a key, in order, through a small generator.
 
 Spark deals rows by key and sorts them; a task then reads them once, one key after the
-other, so there is no call overhead per key and memory holds the rows of one key. Keys
-should be the smallest independent unit: cut long pages into ``scan.islands`` first.
+other, so there is no call overhead per key and memory holds what the step keeps. Keys
+should be the smallest independent unit; a step that reads its rows as they come may take a long
+page whole, if it holds only what hangs together.
 """
 
 from __future__ import annotations

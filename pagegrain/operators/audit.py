@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from pagegrain.operators.terms import _bounded, has_phrase, joined, stems
+from pagegrain.operators.terms import _bounded, has_phrase, joined
 from pagegrain.plans.registry import frame, view
 from pagegrain.sources.dictionaries import load_dict
 from pagegrain.sources.scratch import new_path
@@ -42,7 +42,7 @@ def form_collisions(rules: DataFrame, forms: DataFrame) -> DataFrame:
     ``rules``: banned, replacement; ``forms``: banned, form. Nulls and phrases without a word collide with nothing.
     """
     d = rules.where("replacement is not null").join(forms.where("form is not null"), "banned")
-    hit = has_phrase(joined(stems(F.col("replacement"))), F.col("form")) | has_phrase(joined(stems(F.col("form"))), F.col("replacement"))
+    hit = has_phrase(joined(F.col("replacement")), F.col("form")) | has_phrase(joined(F.col("form")), F.col("replacement"))
     return d.where(hit).select("banned", "form", "replacement").distinct()
 
 

@@ -26,26 +26,34 @@ def _bounded(entries: Sequence) -> Sequence:
 
 def normal(text: Column) -> Column:
     """Lower case, wide forms as ASCII, hyphens, slashes and signs as blanks; letters, digits and % stay."""
-    t = F.lower(F.translate(F.coalesce(text, F.lit("")), WIDE, ASCII))
+    t = F.coalesce(text, F.lit(""))
+    t = F.lower(F.when(t.rlike("[\uff01-\uff5e]"), F.translate(t, WIDE, ASCII)).otherwise(t))
     return F.regexp_replace(F.regexp_replace(t, "[-–—_/]", " "), r"[^\p{L}\p{M}0-9%\s]", " ")
 
 
+def _cut(text: Column) -> Column:
+    # of endings that fit, the longest, as it leaves the shortest stem
+    cut = F.regexp_replace(text, rf"(?<!\S)([a-z]{{3,}}?)(?:{'|'.join(ENDINGS)})(?!\S)", "$1")
+    return F.regexp_replace(cut, r"(?<!\S)([a-z]{3,})e(?!\S)", "$1")
+
+
 def stem(word: Column) -> Column:
     """A word of ASCII letters without its ending (three letters must stay), then without a last e if longer than three."""
-    n, cut = F.length(word), word
-    for e in reversed(ENDINGS):
-        cut = F.when(word.endswith(e) & (n > 3) & (n - len(e) >= 3), F.substring(word, F.lit(1), n - len(e))).otherwise(cut)
-    cut = F.when((F.length(cut) > 3) & cut.endswith("e"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
-    return F.when(word.rlike("^[a-z]+$"), cut).otherwise(word)
+    return F.when(word.rlike("^[a-z]+$"), _cut(word)).otherwise(word)
+
+
+def stemmed(text: Column) -> Column:
+    """Normal text with the stems of its words: patterns over the whole text, not a step for each word."""
+    return _cut(normal(text))
 
 
 def stems(text: Column) -> Column:
-    return F.transform(F.filter(F.split(normal(text), r"\s+"), lambda w: w != ""), stem)
+    return F.filter(F.split(stemmed(text), r"\s+"), lambda w: w != "")
 
 
-def joined(tokens: Column) -> Column:
-    """Tokens with a mark on both sides of each, so that a run of tokens is a part of the text."""
-    return F.concat(F.lit("\x01"), F.array_join(tokens, "\x01"), F.lit("\x01"))
+def joined(text: Column) -> Column:
+    """Stems of a text with a mark on both sides of each, so that a run of stems is a part of the text."""
+    return F.concat(F.lit("\x01"), F.regexp_replace(F.regexp_replace(stemmed(text), r"^\s+|\s+$", ""), r"\s+", "\x01"), F.lit("\x01"))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
@@ -53,16 +61,18 @@ def has_phrase(text: Column, phrase: Column) -> Column:
 
     A phrase without a word is never there.
     """
-    p = stems(phrase)
-    test = (F.size(p) > 0) & F.contains(text, joined(p))
+    p = joined(phrase)
+    parts = F.split(p, "\x01")  # an empty one at both ends
+    test = (p != "\x01\x01") & F.contains(text, p)
     for i in (1, 2):
-        test |= (F.size(p) - i >= 3) & F.contains(text, joined(F.slice(p, i + 1, F.greatest(F.lit(1), F.size(p) - i))))
+        rest = F.concat(F.lit("\x01"), F.array_join(F.slice(parts, i + 2, F.size(parts)), "\x01"))
+        test |= (F.size(parts) - 2 - i >= 3) & F.contains(text, rest)
     return F.coalesce(test, F.lit(False))
 
 
 def phrase_hits(texts: DataFrame, phrases: Sequence[str], key: str = "seg_id", text: str = "translation") -> DataFrame:
     """``key`` and phrase for each phrase of the dictionary that a text has."""
-    t = texts.select(key, joined(stems(F.col(text))).alias("t"))
+    t = texts.select(key, joined(F.col(text)).alias("t"))
     tests = [F.when(has_phrase(F.col("t"), F.lit(p)), F.lit(p)) for p in _bounded(phrases)]
     found = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<string>")
     return t.select(key, F.explode(found).alias("phrase"))
@@ -71,7 +81,7 @@ def phrase_hits(texts: DataFrame, phrases: Sequence[str], key: str = "seg_id", t
 def term_accuracy(outputs: DataFrame, terms: DataFrame) -> DataFrame:
     """target, ok, total over the terms of each segment that a target has: ``outputs`` seg_id, target, translation; ``terms``
     seg_id, term, where a bar parts forms of which one is enough. Null translations count as absent."""
-    t = outputs.where("translation is not null").select("seg_id", "target", joined(stems(F.col("translation"))).alias("t"))
+    t = outputs.where("translation is not null").select("seg_id", "target", joined(F.col("translation")).alias("t"))
     d = t.join(terms.select("seg_id", "term").where("term is not null"), "seg_id")
     ok = F.exists(F.split("term", "[|]"), lambda form: has_phrase(F.col("t"), form))
     return d.groupBy("target").agg(F.count_if(ok).alias("ok"), F.count(F.lit(1)).alias("total"))

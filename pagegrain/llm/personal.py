@@ -11,21 +11,25 @@ the kind's cut. The cut is the least score whose share of valid candidates, made
 is ``PRECISION`` or more in the held-out documents.
 
 Rows are scanned, scored and answered in place by DataFrame functions: no shuffle but for
-the counts of feature vectors, from which the driver grows the trees (at most ``PATTERNS``
-vectors, the most frequent ones). Patterns take no step back over what they have read,
+the counts of feature vectors. The trees learn from all of them: up to ``PATTERNS`` vectors are
+grown in the driver; where there are more, Spark sums the gradients by node, feature
+and value, and the driver sees these sums and pools of scores only. Patterns take no step back over what they have read,
 so that long runs of one character class cost linear time. Positions are code points.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import groupby
 from math import exp, log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagegrain.functions.fold import fold
 from pagegrain.llm.common import held_out, load
+from pagegrain.sources.scratch import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++"
@@ -178,28 +182,87 @@ def score(model: Model, x) -> float:
     return model.prior + sum(_leaf_of(t, x) for t in model.trees)
 
 
+def _split(sums: dict[int, dict[int, tuple[float, float]]], g: float, h: float) -> tuple[int, int] | None:
+    """Feature and cut of the greatest gain, from (gradient, weight) by feature and value; ties: the first feature, then the lowest cut."""
+    best = (1e-6, None)
+    for f in sorted(sums):
+        gl = hl = 0.0
+        for v in sorted(sums[f])[:-1]:
+            gl, hl = gl + sums[f][v][0], hl + sums[f][v][1]
+            gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
+            if gain > best[0] + 1e-9:
+                best = (gain, (f, v))
+    return best[1]
+
+
 def _grow(rows: list, depth: int):
-    """A tree over (features, gradient, weight) rows; ties between splits: the first feature, then the lowest cut."""
+    """A tree over (features, gradient, weight) rows."""
     g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    best = (1e-6, None, None)
+    every: dict[int, dict[int, list[float]]] = {}
     for f in range(len(FEATURES)) if depth else ():
-        sums: dict[int, list[float]] = {}
+        sums = every.setdefault(f, {})
         for x, a, b in rows:
             s = sums.setdefault(x[f], [0.0, 0.0])
             s[0] += a
             s[1] += b
-        gl = hl = 0.0
-        for v in sorted(sums)[:-1]:
-            gl, hl = gl + sums[v][0], hl + sums[v][1]
-            gain = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-            if gain > best[0] + 1e-9:
-                best = (gain, f, v)
-    _, f, cut = best
-    if f is None:
+    found = _split(every, g, h)
+    if found is None:
         return -RATE * g / (h + 1)
+    f, cut = found
     return f, cut, _grow([r for r in rows if r[0][f] <= cut], depth - 1), _grow([r for r in rows if r[0][f] > cut], depth - 1)
 
 
+#: gradients are summed as whole parts of this, so that sums do not depend on their order
+PART = 1 << 20
+
+
+def _grow_far(rows: DataFrame, depth: int):
+    """``_grow`` over a DataFrame of the features, g and h: a pass for each level, of which the driver sees sums by node, feature and value."""
+    one = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(n).alias("v")) for f, n in enumerate(FEATURES)))).alias("x")
+    whole = lambda c: F.round(F.col(c) * PART).cast("bigint").alias(c)
+    done: dict[str, object] = {}  # nodes by their path: a split or a leaf
+    open_ = {"": "true"}
+    for left in range(depth, -1, -1):
+        if not open_:
+            break
+        node = F.expr("case " + " ".join(f"when {test} then '{path}'" for path, test in open_.items()) + " end").alias("node")
+        seen = rows.alias("s").select(node, whole("g"), whole("h"), one).where("node is not null").groupBy("node", "x.f", "x.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        below = {}
+        for path, test in open_.items():
+            sums: dict[int, dict[int, tuple[float, float]]] = {}
+            for r in seen:
+                if r.node == path:
+                    sums.setdefault(r.f, {})[r.v] = (r.g / PART, r.h / PART)
+            g, h = (sum(v[k] for v in sums[0].values()) for k in (0, 1))
+            found = _split(sums, g, h) if left else None
+            done[path] = -RATE * g / (h + 1) if found is None else found
+            if found:
+                below |= {path + k: f"{test} and s.{FEATURES[found[0]]} {sign} {found[1]}" for k, sign in (("0", "<="), ("1", ">"))}
+        open_ = below
+
+    def tree(path: str):
+        at = done[path]
+        return (*at, tree(path + "0"), tree(path + "1")) if isinstance(at, tuple) else at
+
+    return tree("")
+
+
+def _margin(prior: float, trees: list) -> str:
+    return " + ".join([f"{prior!r}D", *(_sql(t) for t in trees)])
+
+
+def boost_far(rows: DataFrame, trees: int = TREES) -> tuple[float, list]:
+    """``boost`` over a DataFrame of the features, pos and neg."""
+    n = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("pos", "neg"))).collect()[0]
+    prior, out = log((n.pos + 1) / (n.neg + 1)), []
+    if not n.pos or not n.neg:
+        return prior, []
+    for _ in range(trees):
+        d = rows.alias("s").select(*FEATURES, "pos", (F.col("pos") + F.col("neg")).alias("n"), F.expr(f"1 / (1 + exp(-({_margin(prior, out)})))").alias("p"))
+        out.append(_grow_far(d.select(*FEATURES, (F.col("n") * F.col("p") - F.col("pos")).alias("g"), (F.col("n") * F.col("p") * (1 - F.col("p"))).alias("h")), DEPTH))
+    return prior, out
+
+
 def boost(rows: list, trees: int = TREES) -> tuple[float, list]:
     """Logistic loss over (features, positives, negatives)."""
     pos, neg = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -214,35 +277,59 @@ def boost(rows: list, trees: int = TREES) -> tuple[float, list]:
     return prior, out
 
 
+def _pools(scored) -> list[list[float]]:
+    """(least score, positives, all) of (score, positives, negatives) in order, pooled until the share rises with the score."""
+    pools: list[list[float]] = []
+    for s, same in groupby(scored, key=lambda r: r[0]):  # equal scores are one
+        a, n = map(sum, zip(*((r[1], r[1] + r[2]) for r in same)))
+        pools.append([s, a, n])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            _, a2, n2 = pools.pop()
+            pools[-1][1], pools[-1][2] = pools[-1][1] + a2, pools[-1][2] + n2
+    return pools
+
+
 def calibrate(scored: list[tuple[float, int, int]], precision: float = PRECISION, least: int = LEAST_HELD) -> float | None:
     """The least score from which the share of positives, pooled until it rises with the score, is ``precision`` or more.
 
     None where fewer than ``least`` candidates reach it.
     """
-    pools: list[list[float]] = []  # least score, positives, all
-    for s, a, b in sorted(scored):
-        if pools and pools[-1][0] == s:
-            pools[-1][1], pools[-1][2] = pools[-1][1] + a, pools[-1][2] + a + b
-        else:
-            pools.append([s, a, a + b])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            _, a2, n2 = pools.pop()
-            pools[-1][1], pools[-1][2] = pools[-1][1] + a2, pools[-1][2] + n2
-    ok = [p for p in pools if p[1] >= precision * p[2]]
+    ok = [p for p in _pools(sorted(scored)) if p[1] >= precision * p[2]]
     return ok[0][0] if sum(p[2] for p in ok) >= least else None
 
 
+def _scored_far(rows: DataFrame, model: Model) -> list[tuple[int, float, int, int]]:
+    """Pools of each kind as (kind, least score, positives, negatives), pooled by stretches of scores; pooled again they are those of all rows."""
+    d = rows.alias("s").select("kind", F.expr(_margin(model.prior, model.trees)).alias("score"), "pos", "neg").groupBy("kind", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    d = d.withColumn("stretch", F.floor(F.col("score") * 16))
+
+    def step(key, found):
+        for s, a, n in _pools(found):
+            yield key[0], s, a, n - a
+
+    pools = fold(d, ["kind", "stretch"], ["score"], step, "kind int, score double, pos bigint, neg bigint")
+    return [tuple(r) for r in pools.collect()]
+
+
 def train(docs: DataFrame, patterns: int = PATTERNS) -> Model:
-    """Learn from the candidates of rows with doc_id and text; without any, nothing is added to the base."""
+    """Learn from the candidates of rows with doc_id and text; without any, nothing is added to the base.
+
+    All feature vectors count; over ``patterns`` of them trees are grown on Spark.
+    """
     seen = docs.select(held_out("doc_id", 4).alias("held"), F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c"))
     seen = seen.groupBy("held", *(F.col(f"c.{n}").alias(n) for n in FEATURES)).agg(F.count_if("c.y").alias("pos"), F.count_if(~F.col("c.y")).alias("neg"))
-    rows: dict[bool, list] = {False: [], True: []}
-    for held in rows:
-        most = seen.where(F.col("held") == held).orderBy(F.desc(F.col("pos") + F.col("neg")), *FEATURES).limit(patterns)
-        rows[held] = [(tuple(r[n] for n in FEATURES), r.pos, r.neg) for r in most.collect()]
-    model = Model(*boost(rows[False]), {})
+    seen = materialize(seen, "patterns")
+    if seen.count() > patterns:
+        model = Model(*boost_far(seen.where("not held")), {})
+        scored = _scored_far(seen.where("held"), model)
+    else:
+        rows: dict[bool, list] = {False: [], True: []}
+        for r in seen.orderBy(F.desc(F.col("pos") + F.col("neg")), *FEATURES).collect():
+            rows[r.held].append((tuple(r[n] for n in FEATURES), r.pos, r.neg))
+        model = Model(*boost(rows[False]), {})
+        scored = [(x[0], score(model, x), a, b) for x, a, b in rows[True]]
     for k in range(len(KINDS)):
-        cut = calibrate([(score(model, x), a, b) for x, a, b in rows[True] if x[0] == k])
+        cut = calibrate([r[1:] for r in scored if r[0] == k])
         if cut is not None:
             model.cuts[k] = cut
     return model
@@ -260,7 +347,7 @@ def chosen(model: Model, cands: str) -> Column:
     if not model.cuts:
         return F.filter(cands, lambda s: F.lit(False))
     cut = "case s.kind " + " ".join(f"when {k} then {c!r}D" for k, c in model.cuts.items()) + " end"
-    total = " + ".join([f"{model.prior!r}D", *(_sql(t) for t in model.trees)])
+    total = _margin(model.prior, model.trees)
     return F.expr(f"filter({cands}, s -> not s.y and coalesce({total} >= {cut} - 1e-9D, false))")
 
 

@@ -90,6 +90,23 @@ def test_calibration_pools_until_the_share_rises(spark):
     assert personal.calibrate([(0.9, 5, 0)]) is None and personal.calibrate([]) is None
 
 
+def test_all_feature_vectors_count_whatever_their_number(spark):
+    """Over the number that the driver holds, the same trees and cuts come from sums; none is left out."""
+    rng = random.Random(7)
+    said = lambda i: (f"please mail p{'q' * (i % 17)}@host{i}.example.com today", f"write to q{i} or leave {'w' * (i % 11)} handle @x{i} here", f"order {rng.randint(10**12, 10**13 + 10**14)} shipped")[i % 3]
+    docs = spark.createDataFrame([(i, said(i)) for i in range(900)], DOCS)
+    near, far = personal.train(docs), personal.train(docs, patterns=2)
+    assert far.cuts.keys() == near.cuts.keys() and near.cuts and len(far.trees) == len(near.trees)
+    assert abs(far.prior - near.prior) < 1e-9 and all(abs(far.cuts[k] - near.cuts[k]) < 1e-3 for k in near.cuts)
+
+
+def test_pools_of_pools_are_those_of_all():
+    rng = random.Random(2)
+    scored = sorted((round(rng.random(), 2), rng.randint(0, 9), rng.randint(0, 4)) for _ in range(300))
+    parts = [p for k in range(11) for p in personal._pools([s for s in scored if int(s[0] * 10) == k])]
+    assert personal._pools([(s, a, n - a) for s, a, n in parts]) == personal._pools(scored)
+
+
 def test_scores_in_sql_are_those_of_the_trees(spark):
     rng = random.Random(1)
     width = len(personal.FEATURES)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import load
+from pagegrain.llm.common import give_back, load
 from pagegrain.llm.tokens import crc32_of, encoder, slices, vocabulary
 from pagegrain.sources.scratch import materialize, new_path
 
@@ -178,6 +178,7 @@ def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, file_token
                         yield flush()
         if ids:
             yield flush()
+        give_back()
 
     _fs(folder)[0].create_dir(_fs(folder)[1], recursive=True)
     spark = docs.sparkSession

@@ -33,6 +33,8 @@ from pagegrain.llm.common import give_back, load, mix, plainly, texts, words
 PLANS = ((30, 12, 8, 4), (15, 8, 5, 4), (10, 6, 4, 4), (5, 3, 3, 4), (1, 4, 4, 1))
 EDITS = 0.2
 BLOCK = 20_000
+QUICK = 22
+AT_ONCE = 1 << 18  # bytes of the texts that a task walks at a time
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +97,20 @@ def marks(h: np.ndarray) -> np.ndarray:
     return np.where(np.arange(4, dtype=np.uint64)[:, None] == h >> np.uint64(62), bit, np.uint64(0))
 
 
+def quick(key: np.ndarray) -> np.ndarray:
+    """A bit for each value of the keys' first ``QUICK`` bits, eight to a byte: a quick no for most places."""
+    seen = np.zeros(1 << QUICK - 3, np.uint8)
+    place = (key >> np.uint64(64 - QUICK)).astype(np.int64)
+    np.bitwise_or.at(seen, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+    return seen
+
+
+def maybe(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """0 for keys that are not there; most others are."""
+    place = (key >> np.uint64(64 - QUICK)).astype(np.int64)
+    return seen[place >> 3] >> (place & 7).astype(np.uint8) & np.uint8(1)
+
+
 class Index:
     """LSH keys of a block of items: key -> (item, word of the item at which its window begins)."""
 
@@ -117,9 +133,7 @@ class Index:
                 at = np.concatenate([np.arange(len(x)) for x in keys])
                 order = np.argsort(key, kind="stable")
                 key = key[order]
-                seen = np.zeros(1 << 22, bool)  # a quick no for most places
-                seen[(key >> np.uint64(42)).astype(np.int64)] = True
-                self.tables[*how, r] = key, item[order], at[order], seen
+                self.tables[*how, r] = key, item[order], at[order], quick(key)
 
     def likely(self, asked: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, start, row, from, to) of the candidates whose stretch can have enough of the item's words.
@@ -148,7 +162,7 @@ class Index:
         asked = []
         for how, (key, item, at, seen) in self.tables.items():
             got = walk_keys(h, *how)
-            place = np.flatnonzero(seen[(got >> np.uint64(42)).astype(np.int64)])
+            place = np.flatnonzero(maybe(seen, got))
             lo = np.searchsorted(key, got[place], "left")
             n = np.searchsorted(key, got[place], "right") - lo
             place, lo, n = place[n > 0], lo[n > 0], n[n > 0]
@@ -200,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
         def run(batches, sent=sent):
             index = _index(sent.value)
             for batch in batches:
-                for t in texts(batch.column(1)):
+                for t in texts(batch.column(1), AT_ONCE):
                     w = words(plainly(t))
                     found = index.leaks(w.hash, w.first)
                     if found:
@@ -224,7 +238,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> Data
             index = _index(sent.value)
             for batch in batches:
                 bad: set[int] = set()
-                for t in texts(batch.column(k)):
+                for t in texts(batch.column(k), AT_ONCE):
                     w = words(plainly(t))
                     bad.update(t.first + f[0] for f in index.leaks(w.hash, w.first))
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import load
+from pagegrain.llm.common import give_back, load
 from pagegrain.llm.tokens import crc32_of, encoder, slices, vocabulary
 from pagegrain.sources.scratch import materialize
 
@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY) -> DataFrame:
                         seen[b - a] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+        give_back()
 
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]

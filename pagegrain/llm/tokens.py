@@ -27,8 +27,9 @@ SIGNS = [
     (0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E), (0xA1, 0xA9), (0xAB, 0xAB), (0xBF, 0xBF),
     (0x2010, 0x2027), (0x3001, 0x3003), (0x300C, 0x300F), (0xFF01, 0xFF01), (0xFF0C, 0xFF0C), (0xFF1A, 0xFF1B), (0xFF1F, 0xFF1F),
 ]
-BLOCK = 1 << 21  # code points that are hashed at a time
+BLOCK = 1 << 18  # code points that are hashed at a time
 LONGEST = 64  # code points of a remembered piece
+REMEMBERED = 1 << 18  # pieces whose ids a worker keeps, some hundred bytes each
 _MULS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -92,7 +93,7 @@ def _hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> n
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = 1_000_000):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tok = Tokenizer.from_file(path)
         #: literals that the library turns into ids of their own, wherever they stand
         self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
@@ -199,7 +200,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[str | None], most: int = 1 << 21):
+def slices(texts: list[str | None], most: int = BLOCK):
     """Ranges of rows with about ``most`` characters."""
     a = n = 0
     for b, t in enumerate(texts, 1):

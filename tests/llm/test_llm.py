@@ -617,3 +617,23 @@ def test_small_batches_only_inside(spark):
             assert spark.conf.get(common.BATCH) == "7"
     assert spark.conf.get(common.BATCH) == was
     common.give_back()
+
+
+def test_quick_bits_miss_no_key():
+    key = common.mix(np.arange(50_000, dtype=np.uint64), 9)
+    seen = decontam.quick(key)
+    assert seen.nbytes <= 1 << 19 and decontam.maybe(seen, key).all()
+    assert decontam.maybe(seen, common.mix(np.arange(50_000, dtype=np.uint64), 10)).mean() < 0.05
+
+
+def test_encoder_keeps_a_bounded_number_of_pieces():
+    e = tokens.Encoder(tokens.vocabulary())
+    some = [" ".join(f"{random.Random(i).getrandbits(60):x}" for i in range(k, k + 25_000)) for k in range(0, 100_000, 25_000)]
+    whole = [[*x.ids, 0] for x in e.tok.encode_batch(some, add_special_tokens=False)]
+    most = 0
+    for text, ids in zip(some, whole):
+        for a, b in tokens.slices([text]):
+            assert [x.tolist() for x in e.ids([text][a:b])] == [ids]
+        most = max(most, len(e.known))
+    assert most <= 2 * tokens.BLOCK <= 1 << 19
+    assert sum(len(x) * 8 for pair in tokens._POWERS.values() for x in pair) <= 32 * 2 * tokens.BLOCK

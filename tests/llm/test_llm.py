@@ -637,3 +637,21 @@ def test_encoder_keeps_a_bounded_number_of_pieces():
         most = max(most, len(e.known))
     assert most <= 2 * tokens.BLOCK <= 1 << 19
     assert sum(len(x) * 8 for pair in tokens._POWERS.values() for x in pair) <= 32 * 2 * tokens.BLOCK
+
+
+def test_lm_scores_a_bounded_slice_at_a_time():
+    import tracemalloc
+
+    text = pa.array(["some words of a text that is not short " * 50] * 2000, pa.large_string())
+    pairs = np.ones((256, 256))
+    m = mixlm.Model(mixlm.Trees(pairs), [10, 10], "none", True)
+    m.load = lambda: None
+    m.known, m.age = [np.zeros(1 << 10, "<i2")] * 2, np.zeros(1 << 10, np.uint8)
+    some = next(iter(texts(text, mixlm.AT_ONCE)))
+    tracemalloc.start()
+    m.bits(some)
+    assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    whole, parts = ([m.bits(t)[0] for t in texts(text.slice(0, 300), n)] for n in (1 << 21, mixlm.AT_ONCE))
+    assert len(parts) > len(whole) == 1
+    assert np.allclose(whole[0], np.concatenate(parts), rtol=1e-12)

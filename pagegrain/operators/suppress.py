@@ -138,6 +138,36 @@ def _areas(sec: np.ndarray, mask: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0
     return same, out
 
 
+def islands(batches, whole):
+    """``whole`` of tables of boxes, each of whole islands: ``SWEPT`` boxes, or one island that has more.
+
+    Boxes have none, section_id, y, y1 and come in order of the first three; no box of a section hangs together with one of another table.
+    """
+    held: list[pa.RecordBatch] = []
+    rows, least = 0, SWEPT
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        t = pa.Table.from_batches(held)
+        none, sec, y0, y1 = (t.column(c).to_numpy() for c in ("none", "section_id", "y", "y1"))
+        new = (sec[1:] != sec[:-1]) | (none[1:] != none[:-1])
+        # the lowest end so far within a section, by places that rise from one section to the next
+        part = np.r_[0, np.cumsum(new)]
+        low, span = y0.min(), int(y1.max() - y0.min()) + 1
+        far = np.maximum.accumulate(part * span + (y1 - low))
+        clean = np.flatnonzero(new | (part[1:] * span + (y0[1:] - low) >= far[:-1])) + 1
+        if not len(clean):
+            least = 2 * rows
+            continue
+        yield from whole(t.slice(0, clean[-1]))
+        rest = t.slice(clean[-1])
+        held, rows, least = rest.to_batches(), rest.num_rows, max(SWEPT, 2 * rest.num_rows)
+    if rows:
+        yield from whole(pa.Table.from_batches(held))
+
+
 def mask_areas(masks: DataFrame) -> DataFrame:
     """section_id and areas i, u, f, t of ``_areas`` of three masks given as runs of rows (section_id, mask, y, x0, x1), or as boxes
     (y0 and y1, the row after the last).
@@ -160,29 +190,7 @@ def mask_areas(masks: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(same), none[0])), pa.array(same), *(pa.array(a) for a in area)], names=["none", "section_id", *"iuft"])
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-        rows, least = 0, SWEPT
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < least:
-                continue
-            t = pa.Table.from_batches(held)
-            none, sec, _, y0, y1, _, _ = (c.to_numpy() for c in t.columns)
-            new = (sec[1:] != sec[:-1]) | (none[1:] != none[:-1])
-            # the lowest end so far within a section, by places that rise from one section to the next
-            part = np.r_[0, np.cumsum(new)]
-            low, span = y0.min(), int(y1.max() - y0.min()) + 1
-            far = np.maximum.accumulate(part * span + (y1 - low))
-            clean = np.flatnonzero(new | (part[1:] * span + (y0[1:] - low) >= far[:-1])) + 1
-            if not len(clean):
-                least = 2 * rows
-                continue
-            yield from whole(t.slice(0, clean[-1]))
-            rest = t.slice(clean[-1])
-            held, rows, least = rest.to_batches(), rest.num_rows, max(SWEPT, 2 * rest.num_rows)
-        if rows:
-            yield from whole(pa.Table.from_batches(held))
+        return islands(batches, whole)
 
     def whole(t: pa.Table):
         none = t.column("none").to_numpy()

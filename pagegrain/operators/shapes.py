@@ -1,6 +1,10 @@
 """Style, lengths, components, profiles of boxes and sources."""
 
-from pagegrain.plans.registry import op, view
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagegrain.operators import suppress
+from pagegrain.plans.registry import frame, op, view
 
 
 @view
@@ -212,16 +216,24 @@ def covers(d):
         select r.section_id, r.region_id, coalesce(a.area, 0) / cast(greatest(1, (r.x1 - r.x0) * (r.y1 - r.y0)) as double) as cover from regions r left join areas a on r.section_id = a.section_id and r.region_id = a.region_id"""
 
 
-@op("M7_text_on_foreground")
-def m7(d):
+def _m7(d):
     return "select section_id, count(case when cover >= 0.3 then 1 end) as n from covers group by section_id"
 
 
-@op("D1_cover_ratio")
-def d1(d):
+def _d1(d):
     return f"select section_id, region_id, {d.bround('cover', 6)} as cover, cover > 0.5 as label from covers"
 
 
+@frame("M7_text_on_foreground", "regions", "regions_b", check=_m7)
+def m7(regions: DataFrame, regions_b: DataFrame) -> DataFrame:
+    return suppress.covered(regions, regions_b).groupBy("section_id").agg(F.count(F.when(F.col("cover") >= 0.3, 1)).alias("n"))
+
+
+@frame("D1_cover_ratio", "regions", "regions_b", check=_d1)
+def d1(regions: DataFrame, regions_b: DataFrame) -> DataFrame:
+    return suppress.covered(regions, regions_b).select("section_id", "region_id", F.bround("cover", 6).alias("cover"), (F.col("cover") > 0.5).alias("label"))
+
+
 @op("D2_ring_std")
 def d2(d):
     """Spread of the rows within two of a component, outside of it."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagegrain.functions import geom
@@ -203,6 +204,83 @@ def mask_areas(masks: DataFrame) -> DataFrame:
     return found.groupBy(F.when(~F.col("none"), F.col("section_id")).alias("section_id")).agg(*(F.sum(c).alias(c) for c in "iuft"))
 
 
+#: pairs of boxes that are looked at together, at least those of one id
+PAIRED = 1 << 20
+_FAR = 1 << 30
+
+
+def _cover(sec: np.ndarray, ident: np.ndarray, other: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> np.ndarray:
+    """For each box that is not ``other``, how much of it lies under the other boxes of its section; boxes of one id share the area.
+
+    0 for other boxes and for all but the first box of an id.
+    """
+    low, span = int(y0.min()), int(y1.max() - y0.min()) + 2
+    part = np.r_[0, np.cumsum(sec[1:] != sec[:-1])]
+    top, end = part * span + (y0 - low), part * span + (y1 - low)
+    b = np.flatnonzero(other)
+    a = np.flatnonzero(~other)
+    a = a[np.lexsort((ident[a], part[a]))]
+    new = np.append(True, (part[a][1:] != part[a][:-1]) | (ident[a][1:] != ident[a][:-1]))[: len(a)]
+    key = np.cumsum(new) - 1
+    out = np.zeros(len(sec), np.int64)
+    if not len(a) or not len(b):
+        return out
+    lo = np.searchsorted(np.maximum.accumulate(end[b]), top[a], "right")  # those before end above it
+    n = np.maximum(np.searchsorted(top[b], end[a], "left") - lo, 0)
+    total = np.r_[0, np.cumsum(n)]
+    starts = np.append(np.flatnonzero(new), len(a))
+    i = 0
+    while i < len(starts) - 1:
+        j = max(i + 1, int(np.searchsorted(total[starts], total[starts[i]] + PAIRED, "right")) - 1)
+        p, q = starts[i], starts[j]
+        one = np.repeat(np.arange(p, q), n[p:q])
+        two = b[np.arange(len(one)) - np.repeat(total[p:q] - total[p], n[p:q]) + lo[one]]
+        me = a[one]
+        box = np.maximum(y0[me], y0[two]), np.minimum(y1[me], y1[two]), np.maximum(x0[me], x0[two]), np.minimum(x1[me], x1[two])
+        ok = (box[0] < box[1]) & (box[2] < box[3]) & (part[me] == part[two]) & (box[2] > -_FAR) & (box[3] < _FAR)
+        if ok.any():
+            same, area = _areas(key[one[ok]], np.zeros(int(ok.sum()), np.int8), *(c[ok] for c in box))
+            out[a[starts[same]]] = area[2]
+        i = j
+    return out
+
+
+def covered(regions: DataFrame, others: DataFrame) -> DataFrame:
+    """section_id, region_id, cover of every region: the share of its box under the other boxes of its section. Coordinates are whole numbers.
+
+    Boxes of both are shuffled once and pass from the top of a section, island by island; regions of one id share what their boxes have.
+    """
+    rest = [F.col(c).cast("bigint").alias(c) for c in ("y0", "y1", "x0", "x1")]
+    ids = [F.col("section_id").cast("bigint").alias("section_id"), F.col("region_id").cast("bigint").alias("region_id")]
+    whole_ = "section_id is not null and region_id is not null and y0 is not null and y1 is not null and y1 > y0"
+    size = F.greatest(F.lit(1), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).cast("bigint")
+    a = regions.select(*ids, *rest, F.lit(False).alias("other"), size.alias("size"))
+    b = others.where(whole_).select(*ids, *rest, F.lit(True).alias("other"), F.lit(1).cast("bigint").alias("size"))
+    odd = ~F.coalesce(F.expr(whole_), F.lit(False))
+    at = lambda c, none: F.when(odd & (F.lit(c) != "x0") & (F.lit(c) != "x1"), 0).otherwise(F.coalesce(c, F.lit(none))).cast("bigint")
+    d = a.union(b).select(
+        F.col("section_id").isNull().alias("none"), F.coalesce("section_id", F.lit(0)).alias("section_id"), at("y0", 0).alias("y"), at("y1", 0).alias("y1"), at("x0", -_FAR).alias("x0"), at("x1", _FAR).alias("x1"),
+        "region_id", "other", odd.alias("odd"), "size",
+    )
+    d = d.repartition("none", "section_id").sortWithinPartitions("none", "section_id", "y")
+
+    def whole(t: pa.Table):
+        mine = ~t.column("other").to_numpy()
+        live = np.flatnonzero(~t.column("odd").to_numpy())
+        area = np.zeros(len(mine), np.int64)
+        if len(live):
+            some = t.take(pa.array(live))
+            area[live] = _cover(*(some.column(c).to_numpy() for c in ("section_id", "region_id", "other", "y", "y1", "x0", "x1")))
+        found = t.select(["none", "section_id", "region_id", "size"]).append_column("area", pa.array(area)).filter(pa.array(mine))
+        yield from found.to_batches()
+
+    found = d.mapInArrow(lambda batches: islands(batches, whole), "none boolean, section_id bigint, region_id bigint, size bigint, area bigint")
+    area = F.sum("area").over(W.partitionBy("none", "section_id", "region_id"))
+    kinds = {c: regions.schema[c].dataType for c in ("section_id", "region_id")}
+    section = F.when(~F.col("none"), F.col("section_id")).cast(kinds["section_id"]).alias("section_id")
+    return found.select(section, F.col("region_id").cast(kinds["region_id"]).alias("region_id"), (area / F.col("size").cast("double")).alias("cover"))
+
+
 @frame("M8_mask_agreement", "mask_runs|mask_boxes", check=_m8)
 def m8(masks: DataFrame) -> DataFrame:
     """IoU of two masks outside the text (1 if both are empty there), the share of the first that lies under text, and the flags."""

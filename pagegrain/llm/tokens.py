@@ -3,10 +3,11 @@
 The vocabulary's pre-tokeniser splits a text into runs of letters, digits, signs and white
 space; merges never cross them. ``CUT`` names places that are such a border whatever stands
 further away, by the kinds of three code points. Texts are cut there, many at a time as
-arrays of code points; equal pieces are found by two 64-bit hashes within a block, and only
-one of each is looked up among the ids that the tokenizers library gave before, up to a
-fixed number of pieces. Code points of no listed kind are never cut from their neighbours. A
-text with a literal of an added token goes through the library whole.
+arrays of code points; equal pieces are found by two 64-bit hashes, within a block and among
+the pieces that the tokenizers library gave ids for before, up to a fixed number, which are
+held as arrays by both hashes. Only pieces that are new become texts of their own. Code points
+of no listed kind are never cut from their neighbours. A text with a literal of an added
+token goes through the library whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ SIGNS = [
 ]
 BLOCK = 1 << 18  # code points that are hashed at a time
 LONGEST = 64  # code points of a remembered piece
-REMEMBERED = 1 << 18  # pieces whose ids a worker keeps, some hundred bytes each
+REMEMBERED = 1 << 19  # pieces that a worker looks up at most, 20 bytes each
+NUMBERED = 4  # times as many pieces, with those driven out, have their ids kept before all are let go
 _MULS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)]
 
 
@@ -92,6 +94,11 @@ def _hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> n
         return h ^ (h >> np.uint64(32))
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """An array of ``n`` places at least, with what ``a`` has."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tok = Tokenizer.from_file(path)
@@ -106,9 +113,36 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # piece: its number
-        self.end = np.zeros(1, np.int64)  # where the ids of each piece end, after a first 0
-        self.flat = np.zeros(0, self.kind)
+        places = 1 << max(1, self.most.bit_length() - 1)
+        self.shift = np.uint64(64 - places.bit_length() + 1)
+        self.hashes = np.zeros((2, places), np.uint64)
+        self.number = np.full(places, -1, np.int32)  # of the piece in a place; a pair of places belongs to a hash
+        self.many = 0  # pieces with a number
+        self.end = np.zeros(1 << 10, np.int64)  # where the ids of each piece end, after a first 0
+        self.flat = np.zeros(1 << 10, self.kind)
+
+    @property
+    def known(self) -> np.ndarray:
+        """The numbers of the pieces that can be looked up."""
+        return self.number[self.number >= 0]
+
+    def _pair(self, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * _MULS[0] >> self.shift).astype(np.int64) & ~1
+
+    def _find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for new ones."""
+        number = np.full(len(h), -1, np.int64)
+        for at in (pair := self._pair(h), pair + 1):
+            hit = np.flatnonzero((self.hashes[0, at] == h) & (self.hashes[1, at] == check))
+            number[hit] = self.number[at[hit]]
+        return number
+
+    def _keep(self, h: np.ndarray, check: np.ndarray, number: np.ndarray) -> None:
+        """Each piece goes to the first place of its pair, or to the second, from where it drives out another."""
+        at = self._pair(h)
+        at += self.number[at] >= 0
+        self.hashes[0, at], self.hashes[1, at], self.number[at] = h, check, number
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
@@ -124,38 +158,43 @@ class Encoder:
             raise ValueError("a piece's first token does not begin with a space")
         return np.concatenate(many), ids
 
-    def _numbers(self, pieces: list[str]) -> np.ndarray:
-        """The number of each of some distinct pieces; ids of new ones are added."""
-        if len(self.known) > self.most or len(self.end) > 2 * self.most:
+    def _numbers(self, text: str, start: np.ndarray, end: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each of some distinct pieces of ``text``; ids of new ones are added."""
+        if self.many > NUMBERED * self.most:
             self._forget()
-        get = self.known.get
-        number = np.array([get(p, -1) for p in pieces], np.int64)
+        number = self._find(h, check)
         new = np.flatnonzero(number < 0)
         if len(new):
-            led = np.array([p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() and " " not in p[1:] for p in map(pieces.__getitem__, new.tolist())])
-            new = np.r_[new[led], new[~led]]
-            fresh, cut = [pieces[i] for i in new.tolist()], int(led.sum())
+            fresh = [text[i:j] for i, j in zip(start[new].tolist(), end[new].tolist())]
+            led = np.array([p[0] == " " and not p[1:2].isspace() and not p[-1].isspace() and " " not in p[1:] for p in fresh])
+            order = np.r_[np.flatnonzero(led), np.flatnonzero(~led)]
+            new, fresh, cut = new[order], [fresh[i] for i in order.tolist()], int(led.sum())
             many, ids = self._led(fresh[:cut]) if cut else ([], [])
             rest = self._plain(fresh[cut:])
-            first = len(self.end) - 1
-            number[new] = first + np.arange(len(new))
-            self.known.update((p, first + i) for i, p in enumerate(fresh) if len(p) <= LONGEST)
-            self.end = np.append(self.end, self.end[-1] + np.cumsum(np.r_[many, [len(x) for x in rest]].astype(np.int64)))
-            self.flat = np.concatenate([self.flat, *ids, np.array([i for x in rest for i in x], self.kind)])
+            number[new] = self.many + np.arange(len(new))
+            short = new[end[new] - start[new] <= LONGEST]
+            self._keep(h[short], check[short], number[short])
+            first, last = self.many, self.many + len(new)
+            self.end = _room(self.end, last + 1)
+            self.end[first + 1 : last + 1] = self.end[first] + np.cumsum(np.r_[many, [len(x) for x in rest]].astype(np.int64))
+            self.flat = _room(self.flat, int(self.end[last]))
+            self.flat[self.end[first] : self.end[last]] = np.concatenate([*ids, np.array([i for x in rest for i in x], self.kind)])
+            self.many = last
         return number
 
     def _block(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive pieces, and how many each has."""
         base = int(start[0])
         points, a, b = points[base : end[-1]], start - base, end - base
-        code, of = pd.factorize(_hashes(points, a, b, 0))
+        h, check = _hashes(points, a, b, 0), _hashes(points, a, b, 1)
+        code, of = pd.factorize(h)
         first = np.empty(len(of), np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-        check = _hashes(points, a, b, 1)
         if not (check == check[first][code]).all():  # two pieces share a hash: take each by itself
             code, first = np.arange(len(start)), np.arange(len(start))
-        number = self._numbers([text[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())])[code]
-        at, n = self.end[number], self.end[number + 1] - self.end[number]
+        number = self._numbers(text, start[first], end[first], h[first], check[first])[code]
+        at = self.end[number]
+        n = self.end[number + 1] - at
         before = np.cumsum(n) - n
         return self.flat[np.repeat(at - before, n) + np.arange(int(n.sum()))], n
 

@@ -655,3 +655,16 @@ def test_lm_scores_a_bounded_slice_at_a_time():
     whole, parts = ([m.bits(t)[0] for t in texts(text.slice(0, 300), n)] for n in (1 << 21, mixlm.AT_ONCE))
     assert len(parts) > len(whole) == 1
     assert np.allclose(whole[0], np.concatenate(parts), rtol=1e-12)
+
+
+def test_encoder_looks_most_pieces_up_again():
+    e, r = tokens.Encoder(tokens.vocabulary()), random.Random(4)
+    words = ["".join(r.choices("abcdefghijklmnopqrst", k=7)) for _ in range(300_000)]
+    some = [" ".join(words[a : a + 20_000]) for a in range(0, len(words), 20_000)]
+    given, plain = [], e._plain
+    e._plain = lambda of: given.append(sum(map(len, of))) or plain(of)
+    first = [e.ids([t])[0] for t in some]
+    once = sum(given)
+    assert [x.tolist() for x in first[:2]] == [[*x.ids, 0] for x in e.tok.encode_batch(some[:2], add_special_tokens=False)]
+    assert all((e.ids([t])[0] == x).all() for t, x in zip(some, first))
+    assert sum(given) - once < 0.3 * once and len(e.known) <= tokens.REMEMBERED

@@ -33,3 +33,19 @@ def test_overlap_pairs_need_more_than_a_border(spark):
 def test_no_cross_join_in_tagging(spark):
     plan = plans.queries()["L2_tag_items"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["L4_item_decision", "L10_score_items", "L11_prune_sections"])
+def test_items_of_whole_texts(spark, tmp_path, name):
+    """Patterns are looked for in whole texts, not in a row for each line; they stay within a line."""
+    texts = ["ne\nver al ways the best", "N e\tv\rE r", "1 2\n3", "12 3 a@b1.", None, "", "bef ore\nx after", "before", "idi ot", "di sgusting SCUM", "@\nab.", "İ never @K9. \n\n always"]
+    spark.createDataFrame([(k // 2 if k < 4 else k, t, 9) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0, 1), (1, 1, 0), (8, 0, 1), (77, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = plans.queries()[name](spark, str(tmp_path))
+    assert "split(text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    blocks = "select doc_id as section_id, pos as block_id, line as text from documents lateral view posexplode(split(text, '\\n', -1)) s as pos, line"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").createOrReplaceTempView("documents")
+    by_line = run(spark, name, str(tmp_path), blocks=spark.sql(blocks))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_line.collect()))
+    assert name != "L4_item_decision" or got.count() > 5
+    assert difference(plans.queries()[name](spark, SF), connect(SF), plans.oracles()[name]) is None

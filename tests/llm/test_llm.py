@@ -668,3 +668,24 @@ def test_encoder_looks_most_pieces_up_again():
     assert [x.tolist() for x in first[:2]] == [[*x.ids, 0] for x in e.tok.encode_batch(some[:2], add_special_tokens=False)]
     assert all((e.ids([t])[0] == x).all() for t, x in zip(some, first))
     assert sum(given) - once < 0.3 * once and len(e.known) <= tokens.REMEMBERED
+
+
+def test_lm_tables_are_held_once_for_all_workers(tmp_path, monkeypatch):
+    monkeypatch.setattr(mixlm.tempfile, "gettempdir", lambda: str(tmp_path))
+    calls = []
+
+    def fill(data):
+        calls.append(len(data))
+        data[3] = 7
+
+    with mixlm.mapped("some", 10, fill) as a:
+        with mixlm.mapped("some", 10, fill) as b:
+            assert calls == [10] and a.tolist() == b.tolist() == [0, 0, 0, 7, 0, 0, 0, 0, 0, 0]
+        assert [p.name for p in tmp_path.iterdir()] == ["some"] and a[3] == 7
+    assert not list(tmp_path.iterdir())
+    (tmp_path / "some").write_bytes(b"\1" * 5)  # of a worker that was lost while it wrote
+    with mixlm.mapped("some", 10, fill) as a:
+        assert calls == [10, 10] and a.sum() == 7
+    with pytest.raises(ZeroDivisionError), mixlm.mapped("some", 10, lambda data: 1 / 0):
+        pass
+    assert not list(tmp_path.iterdir())

@@ -165,6 +165,68 @@ def test_lm_tables_grow_with_the_contexts():
     assert 2 ** mixlm.bits_for(many[0])[1] >= 0.9 * mixlm.SPREAD * many[1]
 
 
+def test_lm_counts_meet_in_a_row_a_part(spark):
+    rows = [(t, i % 7) for i, t in ROWS if i is not None]
+    want = {k: Counter() for k in (0, 2, 3)}
+    for t, f in rows:
+        b = (t or "").encode().lower() + b"\xff"
+        want[0].update(re.findall(rb"[^\x20\x09-\x0D]+", b[:-1]))
+        for i, x in enumerate(b):
+            before = (b"\xff" * 4 + b)[i : i + 4]
+            word = re.search(rb"[^\x00-\x20]*\Z", b[:i]).group()
+            want[2][before, x, f == mixlm.WEIGHTS] += 1
+            want[3][word, before[-1], x, f == mixlm.WEIGHTS] += 1
+    n, seen = {k: [] for k in want}, set()
+    for batch in mixlm.counted(spark.createDataFrame(rows, "text string, fold long")).toArrow().to_batches():
+        for kind, part, key, times in mixlm.unpacked(batch):
+            if kind != 1:
+                assert (kind, part) not in seen and (np.diff(key.astype(float)) >= 0).all()
+                seen.add((kind, part))
+                n[kind] += times.tolist()
+    assert all(sorted(n[k]) == sorted(want[k].values()) for k in want)
+    assert len(seen) < sum(map(len, n.values()))
+
+
+def test_lm_bits_by_a_plain_restatement():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdeé", k=r.randint(1, 7))) for _ in range(60)]
+    rows = [" ".join(r.choices(words, k=k)) for k in (0, 1, 150, 700)] + [""]
+    t = next(texts(pa.array(rows)))
+    c = mixlm.Coded(t)
+    tree = mixlm.Trees(np.bincount(c.before.astype(int) << 8 | c.now, minlength=1 << 16).reshape(256, 256))
+    m = mixlm.Model(tree, [12, 12], "none", True)
+    m.known = [np.random.default_rng(k).normal(0, 4000, 1 << 12).astype("<i2") for k in (0, 1)]
+    at, got = 0, m.bits(t)
+    for row, text in enumerate(rows):
+        size, cost, lo = len(text.encode()) + 1, 0.0, 0
+        weight = np.tile(mixlm.START.astype(float), (mixlm.GATES, 1))
+        level = 1 / (1 + np.exp(-(np.arange(mixlm.MAP) - 11.5) / 1.5))
+        while lo < size:
+            hi = min(size, lo + min(1024, max(64, lo)))
+            slope, ones, seen = np.zeros(weight.shape), np.zeros(mixlm.MAP), np.zeros(mixlm.MAP)
+            for i in range(at + lo, at + hi):
+                before, now = c.before[i : i + 1], int(c.now[i])
+                place = [int(mixlm.hashes(x[i : i + 1], before, k)[0]) >> 20 for k, x in enumerate((c.four, c.word))]
+                first = int(tree.offset[before[0], now])
+                for a in range(first, first + int(tree.length[before[0], now])):
+                    node, bit = divmod(int(tree.step[a]), 2)
+                    found = [int(m.known[k][place[k] ^ node]) for k in (0, 1)]
+                    x, gate = np.array([tree.known[a], *((v >> 3) / 256 for v in found)]), found[1] & 7
+                    dot = np.clip(weight[gate] @ x, -7.999, 7.999)
+                    p, spot = 1 / (1 + math.exp(-dot)), int(dot * 1.5 + 12)
+                    fine = (p + level[spot]) / 2
+                    cost -= math.log2(fine if bit else 1 - fine)
+                    slope[gate] += (bit - p) * x
+                    ones[spot] += bit
+                    seen[spot] += 1
+            weight += np.clip(mixlm.RATE * slope, -0.25, 0.25)
+            level = np.clip(level + (ones - seen * level) / (seen + mixlm.MAP_PRIOR), 1e-4, 1 - 1e-4)
+            lo = hi
+        assert got[0][row] == pytest.approx(cost, rel=1e-3)
+        assert np.allclose(got[1][row], weight, atol=1e-2)
+        at += size
+
+
 def test_lm_empty(empty):
     assert mixlm.score(load(empty)).count() == 0
 
